@@ -1,11 +1,15 @@
 """The subpackage's queries and their SQL, for ``__spark_entry__.py``."""
 
 from ledgerloom.llm.hilbert import op1_hilbert_shards
+from ledgerloom.llm.packing import op8_best_fit_packing
+from ledgerloom.llm.secrets import op3_secret_scan
 from ledgerloom.llm.simhash import op2_simhash_dedup
 
 QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_secret_scan": op3_secret_scan,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
