@@ -1,6 +1,7 @@
 """The subpackage's queries and their SQL, for ``__spark_entry__.py``."""
 
 from ledgerloom.llm.fracsketch import op7_fracsketch
+from ledgerloom.llm.gam import op5_quality_gam
 from ledgerloom.llm.hilbert import op1_hilbert_shards
 from ledgerloom.llm.packing import op8_best_fit_packing
 from ledgerloom.llm.secrets import op3_secret_scan
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op5_quality_gam": op5_quality_gam,
     "op7_fracsketch": op7_fracsketch,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
