@@ -3,7 +3,9 @@
 from ledgerloom.llm.fracsketch import op7_fracsketch
 from ledgerloom.llm.gam import op5_quality_gam
 from ledgerloom.llm.hilbert import op1_hilbert_shards
+from ledgerloom.llm.ordinal import op6_toxicity_ordinal
 from ledgerloom.llm.packing import op8_best_fit_packing
+from ledgerloom.llm.rules import op9_quality_rules
 from ledgerloom.llm.secrets import op3_secret_scan
 from ledgerloom.llm.simhash import op2_simhash_dedup
 
@@ -12,8 +14,10 @@ QUERIES = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op5_quality_gam": op5_quality_gam,
+    "op6_toxicity_ordinal": op6_toxicity_ordinal,
     "op7_fracsketch": op7_fracsketch,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
