@@ -3,6 +3,7 @@
 from ledgerloom.llm.fracsketch import op7_fracsketch
 from ledgerloom.llm.gam import op5_quality_gam
 from ledgerloom.llm.hilbert import op1_hilbert_shards
+from ledgerloom.llm.mixing import op10_mix_sources
 from ledgerloom.llm.ordinal import op6_toxicity_ordinal
 from ledgerloom.llm.packing import op8_best_fit_packing
 from ledgerloom.llm.rules import op9_quality_rules
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_fracsketch": op7_fracsketch,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLE_SQL: dict[str, str] = {}

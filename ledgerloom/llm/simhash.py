@@ -227,8 +227,14 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` less all rows of a near-duplicate group but one: that of the smallest doc_id (one of them, if rows repeat it)."""
-    found = near_duplicates(docs.select("doc_id", "text"), words, max_bits)
-    keepers = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(keepers, docs.doc_id.eqNullSafe(keepers.doc_id), "left_semi")
-    return kept.withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))).where("__n = 1").drop("__n")
+    """``docs`` less all rows of a near-duplicate group but one, that of the smallest doc_id.
+
+    Rows that share an id count as one document, of which one row stays. A row without an id goes by a hash of its text
+    (a negative number), so that different texts stay apart.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63))))
+    keyed = docs.withColumn("__key", key)
+    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), words, max_bits)
+    keepers = found.where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
+    kept = keyed.join(keepers, "__key", "left_semi")
+    return kept.withColumn("__n", F.row_number().over(W.partitionBy("__key").orderBy("__key"))).where("__n = 1").select(*docs.columns)
