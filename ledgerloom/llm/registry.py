@@ -6,6 +6,7 @@ from ledgerloom.llm.hilbert import op1_hilbert_shards
 from ledgerloom.llm.mixing import op10_mix_sources
 from ledgerloom.llm.ordinal import op6_toxicity_ordinal
 from ledgerloom.llm.packing import op8_best_fit_packing
+from ledgerloom.llm.pitmanyor import op4_pitman_yor
 from ledgerloom.llm.rules import op9_quality_rules
 from ledgerloom.llm.secrets import op3_secret_scan
 from ledgerloom.llm.simhash import op2_simhash_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_pitman_yor": op4_pitman_yor,
     "op5_quality_gam": op5_quality_gam,
     "op6_toxicity_ordinal": op6_toxicity_ordinal,
     "op7_fracsketch": op7_fracsketch,

@@ -27,10 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back: lineage is cut and a lost executor takes nothing with it."""
     path = f"{shared_folder(df.sparkSession)}/ledgerloom-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
