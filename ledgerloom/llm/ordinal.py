@@ -14,12 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import documents, fold, materialize, slices
+from ledgerloom.llm.shared import codes, documents, fold, materialize, slices, words_of
 from ledgerloom.llm.textstats import labelled_sample
 
 SAMPLE_ROWS = 15_000
@@ -42,9 +41,7 @@ def feature_counts(texts: pa.Array, only: np.ndarray | None = None) -> tuple[np.
 
     ``only``: ascending hashes of the features that count. Each distinct word of the batch is taken apart once.
     """
-    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-    words = np.diff(lists.offsets.to_numpy().astype(np.int64))
-    coded = lists.flatten().dictionary_encode()
+    words, coded = words_of(texts)
     known: dict[str, int] = {}
     parts = [[known.setdefault(f, len(known)) for f in features_of(w)] for w in coded.dictionary.to_pylist()]
     hashes = np.array([xxhash.xxh64_intdigest(f) for f in known], np.uint64)
@@ -54,7 +51,7 @@ def feature_counts(texts: pa.Array, only: np.ndarray | None = None) -> tuple[np.
     size = np.fromiter((len(p) for p in parts), np.int64, len(parts))
     flat = np.fromiter((f for p in parts for f in p), np.int64, int(size.sum()))
     first = np.cumsum(size) - size
-    index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    index = codes(coded)
     row = np.repeat(np.arange(len(words)), words)
     hit = np.flatnonzero(size[index] > 0) if len(index) else np.empty(0, np.int64)
     n = size[index[hit]]

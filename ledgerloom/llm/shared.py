@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,8 +53,6 @@ def fold(doc_id: str | Column, n: int) -> Column:
 
 def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Row ranges of ``batch`` holding about ``max_bytes`` of ``column`` each (one row at least), so working memory does not follow the batch size."""
-    import numpy as np
-
     if batch.num_rows == 0:
         return
     ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -81,3 +80,19 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
         return public_tokenizers.path(name)
     except ImportError:
         return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
+
+
+def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Each text's number of words, and all texts' words one after the other, coded by a dictionary of large strings.
+
+    Lower-casing (A-Z) comes before the cast to large strings: after it, Arrow's kernel misreads slices.
+    """
+    lists = pc.ascii_split_whitespace((pc.ascii_lower(texts) if lower else texts).cast(pa.large_string()))
+    flat = lists.flatten()
+    filled = pc.greater(pc.binary_length(flat), 0)  # white space at a text's ends leaves empty words
+    before = np.r_[0, np.cumsum(filled.to_numpy(zero_copy_only=False))]
+    return np.diff(before[lists.offsets.to_numpy()]), flat.filter(filled).dictionary_encode()
+
+
+def codes(words: pa.DictionaryArray) -> np.ndarray:
+    return words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
