@@ -230,9 +230,9 @@ def keep_one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int
     """``docs`` less all rows of a near-duplicate group but one, that of the smallest doc_id.
 
     Rows that share an id count as one document, of which one row stays. A row without an id goes by a hash of its text
-    (a negative number), so that different texts stay apart.
+    (a number beyond common ids), so that different texts stay apart.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63))))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
     keyed = docs.withColumn("__key", key)
     found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), words, max_bits)
     keepers = found.where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
