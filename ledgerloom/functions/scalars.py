@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once: Spark repeats an expression wherever it is mentioned, but not a lambda's argument."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
@@ -81,29 +87,42 @@ def parse_money(c: Column | str) -> Column:
     without any currency are an identifier and stay text. An abbreviation's full stop (``L.E.``) goes with its code.
     """
     t = western_digits(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"(?U)^\s+|\s+$", ""))
-    money = t.rlike(K.CURRENCY_CODE) | t.rlike(K.CURRENCY_SYMBOL)
-    inside = t.rlike(r"(?s)^\(.*\)$")
-    bare = F.when(inside, F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
-    bare = F.regexp_replace(F.regexp_replace(bare, K.CURRENCY_CODE + r"\.?", " "), K.CURRENCY_SYMBOL, " ")
-    bare = F.replace(bare, F.lit(","), F.lit(""))
-    digits = F.regexp_replace(bare, r"(?U)\s+", "")
-    minus_last = digits.endswith("-") & (F.length(digits) > 1)
-    digits = F.when(minus_last, F.substring(digits, F.lit(1), F.length(digits) - 1)).otherwise(digits)
-    plain = digits.rlike(r"^-?[0-9]+(\.[0-9]+)?$")
-    n = F.when(plain, digits.try_cast("double"))
-    name = plain & ~money & ~digits.contains(".") & (F.abs(n) >= 1e9)
-    n = F.when(minus_last | inside, -F.abs(n)).otherwise(n)
-    blank = t.isin(*K.BLANK_MARKS)
-    text = F.when(name, squeeze(t)).when(~plain, squeeze(bare))
-    return F.struct(F.when(~blank & plain & ~name, n).alias("num"), F.when(~blank, text).alias("txt"))
+
+    def without_marks(t: Column) -> Column:
+        bare = F.when(_in_parentheses(t), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+        bare = F.regexp_replace(F.regexp_replace(bare, K.CURRENCY_CODE + r"\.?", " "), K.CURRENCY_SYMBOL, " ")
+        return F.replace(bare, F.lit(","), F.lit(""))
+
+    def read(t: Column, bare: Column, packed: Column) -> Column:
+        minus_last = packed.endswith("-") & (F.length(packed) > 1)
+        digits = F.when(minus_last, F.substring(packed, F.lit(1), F.length(packed) - 1)).otherwise(packed)
+        return named(F.struct(minus_last.alias("minus"), digits.alias("digits"), digits.rlike(r"^-?[0-9]+(\.[0-9]+)?$").alias("plain")), lambda d: judge(t, bare, d))
+
+    def judge(t: Column, bare: Column, d: Column) -> Column:
+        money = t.rlike(K.CURRENCY_CODE) | t.rlike(K.CURRENCY_SYMBOL)
+        n = F.when(d["plain"], d["digits"].try_cast("double"))
+        name = d["plain"] & ~money & ~d["digits"].contains(".") & (F.abs(n) >= 1e9)
+        value = F.when(d["minus"] | _in_parentheses(t), -F.abs(n)).otherwise(n)
+        blank = t.isin(*K.BLANK_MARKS)
+        text = F.when(name, squeeze(t)).when(~d["plain"], squeeze(bare))
+        return F.struct(F.when(~blank & d["plain"] & ~name, value).alias("num"), F.when(~blank, text).alias("txt"))
+
+    return named(t, lambda t: named(without_marks(t), lambda bare: named(F.regexp_replace(bare, r"(?U)\s+", ""), lambda packed: read(t, bare, packed))))
+
+
+def _in_parentheses(t: Column) -> Column:
+    return t.rlike(r"(?s)^\(.*\)$")
 
 
 def money_text(c: Column | str) -> Column:
     """``parse_money`` as one text: the number (without a trailing .0), else the text, else empty."""
-    p = parse_money(c)
-    whole = p["num"] == F.floor(p["num"])
-    number = F.when(whole & (F.abs(p["num"]) < 1e15), p["num"].cast("bigint").cast("string")).otherwise(p["num"].cast("string"))
-    return F.coalesce(number, p["txt"], F.lit(""))
+
+    def text(p: Column) -> Column:
+        whole = p["num"] == F.floor(p["num"])
+        number = F.when(whole & (F.abs(p["num"]) < 1e15), p["num"].cast("bigint").cast("string")).otherwise(p["num"].cast("string"))
+        return F.coalesce(number, p["txt"], F.lit(""))
+
+    return named(parse_money(c), text)
 
 
 def to_number(c: Column | str) -> Column:
@@ -179,19 +198,26 @@ def parse_date(c: Column | str, year_now: int) -> Column:
     """
     t = F.regexp_replace(western_digits(_col(c)), r"(?U)^\s+|\s+$", "")
     t = F.trim(F.regexp_replace(t, r"(?i)^(mon|tues?|wed|thu|thurs|fri|sat|sun)[a-z]*\s+", ""))
-    named = r"^([0-9]{1,2})[-/\s.]+([A-Za-z]{3,9})(?:[-/\s.]+([0-9]{2,4}))?$"
+    named_day = r"^([0-9]{1,2})[-/\s.]+([A-Za-z]{3,9})(?:[-/\s.]+([0-9]{2,4}))?$"
+    dmy, ymd, two = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$", r"^([0-9]{1,2})/([0-9]{1,2})$"
     part = lambda s, p, i: F.nullif(F.regexp_extract(s, p, i), F.lit(""))
     number = lambda s, p, i: part(s, p, i).try_cast("int")
-    month = F.nullif(F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(F.substring(part(t, named, 2), 1, 3))), F.lit(0)).cast("int")
-    year = F.coalesce(number(t, named, 3), F.lit(year_now))
-    by_name = _day(F.when(year < 100, year + 2000).otherwise(year), month, number(t, named, 1))
-    bare = F.regexp_replace(F.regexp_replace(t, r"[-./]", "/"), r"(?U)\s+", "")
-    dmy, ymd, two = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$", r"^([0-9]{1,2})/([0-9]{1,2})$"
-    a, b = number(bare, two, 1), number(bare, two, 2)
-    day_first = (a > 12) & (b <= 12)
-    short = _day(F.lit(year_now), F.when(day_first, b).otherwise(a), F.when(day_first, a).otherwise(b))
-    found = F.coalesce(F.when(t.rlike(named), by_name), _day(number(bare, dmy, 3), number(bare, dmy, 2), number(bare, dmy, 1)), _day(number(bare, ymd, 1), number(bare, ymd, 2), number(bare, ymd, 3)), short)
-    return F.coalesce(found, t)
+
+    def by_name(t: Column) -> Column:
+        month = F.nullif(F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(F.substring(part(t, named_day, 2), 1, 3))), F.lit(0)).cast("int")
+        year = F.coalesce(number(t, named_day, 3), F.lit(year_now))
+        return F.when(t.rlike(named_day), _day(F.when(year < 100, year + 2000).otherwise(year), month, number(t, named_day, 1)))
+
+    def short(a: Column, b: Column) -> Column:
+        day_first = (a > 12) & (b <= 12)
+        return _day(F.lit(year_now), F.when(day_first, b).otherwise(a), F.when(day_first, a).otherwise(b))
+
+    def by_numbers(bare: Column) -> Column:
+        full = lambda p, y, m, d: _day(number(bare, p, y), number(bare, p, m), number(bare, p, d))
+        return F.coalesce(full(dmy, 3, 2, 1), full(ymd, 1, 2, 3), short(number(bare, two, 1), number(bare, two, 2)))
+
+    slashed = lambda t: F.regexp_replace(F.regexp_replace(t, r"[-./]", "/"), r"(?U)\s+", "")
+    return named(t, lambda t: F.coalesce(by_name(t), named(slashed(t), by_numbers), t))
 
 
 def is_date_text(c: Column | str) -> Column:
@@ -210,11 +236,16 @@ def split_numbers(c: Column | str) -> Column:
 
     Numbers stand apart by spaces (dashes between them don't count) or run together with dashes.
     """
-    t = F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"(?U)^\s+|\s+$", "")
-    words = F.filter(F.split(t, r"(?U)\s+"), lambda w: ~w.isin("-", "—", "--"))
-    spaced = (F.size(words) > 1) & F.forall(words, lambda w: w.rlike(_ONE))
-    runs = F.transform(F.regexp_extract_all(t, F.lit(_RUN), F.lit(0)), lambda w: F.trim(w))
-    packed = (F.size(runs) > 1) & F.regexp_replace(t, _RUN, "").rlike(r"^[ \-—,\t\r\n]*$")
-    all_minus = F.forall(runs, lambda w: w.endswith("-"))
-    runs = F.when(all_minus, runs).otherwise(F.transform(runs, lambda w: F.regexp_replace(w, "-$", "")))
-    return F.when(t == "", F.array().cast("array<string>")).when(is_date_text(t), F.array(t)).when(spaced, words).when(packed, runs).otherwise(F.array(t))
+
+    def split(t: Column) -> Column:
+        words = F.filter(F.split(t, r"(?U)\s+"), lambda w: ~w.isin("-", "—", "--"))
+        runs = F.transform(F.regexp_extract_all(t, F.lit(_RUN), F.lit(0)), lambda w: F.trim(w))
+        return named(F.struct(words.alias("words"), runs.alias("runs")), lambda s: choose(t, s["words"], s["runs"]))
+
+    def choose(t: Column, words: Column, runs: Column) -> Column:
+        spaced = (F.size(words) > 1) & F.forall(words, lambda w: w.rlike(_ONE))
+        packed = (F.size(runs) > 1) & F.regexp_replace(t, _RUN, "").rlike(r"^[ \-—,\t\r\n]*$")
+        bare = F.when(F.forall(runs, lambda w: w.endswith("-")), runs).otherwise(F.transform(runs, lambda w: F.regexp_replace(w, "-$", "")))
+        return F.when(t == "", F.array().cast("array<string>")).when(is_date_text(t), F.array(t)).when(spaced, words).when(packed, bare).otherwise(F.array(t))
+
+    return named(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"(?U)^\s+|\s+$", ""), split)

@@ -17,6 +17,7 @@ from ledgerloom.functions import constants as K
 from ledgerloom.functions import scalars as S
 from ledgerloom.functions.similarity import best_match, label_similarity
 from ledgerloom.operators.mapping import normalized
+from ledgerloom.sources.store import settle
 
 PAGE = ("doc_id", "page")
 BOXES = "doc_id string, page int, box_id int, text string, x0 double, y0 double, x1 double, y1 double, confidence double, page_width double"
@@ -154,11 +155,11 @@ def with_page_width(boxes: DataFrame) -> DataFrame:
 
 def boxes_to_cells(boxes: DataFrame) -> DataFrame:
     """Grids of pages without a known layout: header gaps give the columns where there is a wide header, gutters elsewhere."""
-    rows = rows_of(with_page_width(expand_packed(boxes)))
+    rows = settle(rows_of(settle(with_page_width(expand_packed(boxes)), "boxes")), "rows")
     by_header = header_bands(rows)
     by_gutter = column_bands(rows).join(by_header.select(*PAGE).distinct(), list(PAGE), "left_anti")
-    bands = by_header.unionByName(by_gutter)
-    return to_grid(assign_bands(rows, bands), bands)
+    bands = settle(by_header.unionByName(by_gutter), "bands")
+    return to_grid(settle(assign_bands(rows, bands), "assigned"), bands)
 
 
 # Known layouts
@@ -250,13 +251,13 @@ def snap_rows(pieces: DataFrame, heights: DataFrame) -> DataFrame:
 
 def template_cells(boxes: DataFrame, labels: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(cells, unplaced pieces) of pages whose header resembles ``labels``; row 0 is the header. Other pages give no cells."""
-    boxes = with_page_width(boxes)
-    header = header_boxes(boxes, labels)
-    bounds = column_bounds(header).withColumn("m", F.count(F.lit(1)).over(W.partitionBy(*PAGE))).where("m >= 2").drop("m")
+    boxes = settle(with_page_width(boxes), "boxes")
+    header = settle(header_boxes(boxes, labels), "header")
+    bounds = settle(column_bounds(header).withColumn("m", F.count(F.lit(1)).over(W.partitionBy(*PAGE))).where("m >= 2").drop("m"), "bounds")
     floor = header.groupBy(*PAGE).agg(F.max("y1").alias("floor"))
     body = boxes.join(header.select(*PAGE, "box_id"), [*PAGE, "box_id"], "left_anti").join(floor, list(PAGE)).where(_cy() >= F.col("floor"))
     heights = boxes.where(F.coalesce("text", F.lit("")) != "").groupBy(*PAGE).agg(F.median(F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))).alias("median"))
-    placed = snap_rows(slice_boxes(body, bounds), heights)
+    placed = settle(snap_rows(slice_boxes(body, bounds), heights), "placed")
     grid = placed.where("line is not null").select("doc_id", "page", (F.col("line") + 1).alias("row_idx"), "band", "cell")
     rows = grid.select(*PAGE, "row_idx").distinct().unionByName(bounds.select(*PAGE, F.lit(0).alias("row_idx")).distinct())
     full = rows.join(bounds.select(*PAGE, "band", "label"), list(PAGE)).join(grid, [*PAGE, "row_idx", "band"], "left")

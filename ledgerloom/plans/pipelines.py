@@ -1,4 +1,4 @@
-"""Whole ways from grids, boxes or replies to standard transactions. Each is one lazy plan over any number of documents."""
+"""Whole ways from grids, boxes or replies to standard transactions. Each takes any number of documents at once and writes a table between steps that are read several times."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from ledgerloom.functions import scalars as S
 from ledgerloom.operators import geometry, mapping, qa, standardize, tables
 from ledgerloom.sources.readers import parse_replies
 from ledgerloom.sources.rules import Rules
+from ledgerloom.sources.store import settle
 
 
 @dataclass
@@ -23,18 +24,23 @@ class Extracted:
     summary: DataFrame
 
 
-def extract(cells: DataFrame, fix_arabic: bool = True, arabic_labels: bool = False, min_filled: int | None = None) -> Extracted:
-    """Separates metadata strips and summary blocks from the transaction tables and cleans the values of the rest."""
-    cells = tables.clean_cells(cells)
+def extract(cells: DataFrame, fix_arabic: bool = True, arabic_labels: bool = False, min_filled: int | None = None, strict: bool = True) -> Extracted:
+    """Separates metadata strips and summary blocks from the transaction tables and cleans the values of the rest.
+
+    ``strict`` False also takes a table of one data row and a total for a summary block, and so loses its row.
+    """
+    cells = settle(tables.clean_cells(cells), "cells")
     kept, strips = tables.split_metadata(cells)
-    blocks = tables.summary_tables(kept)
+    kept = settle(kept, "kept")
+    blocks = tables.summary_tables(kept, strict)
     main = kept.join(blocks, list(tables.TABLE), "left_anti")
     values = tables.summary_values(kept.join(blocks, list(tables.TABLE), "left_semi"))
-    headers, body = tables.to_frames(main, fix_arabic)
+    headers, body = tables.to_frames(settle(main, "tables"), fix_arabic)
+    headers, body = settle(headers, "headers"), settle(body, "body")
     body = tables.drop_summary_rows(body, headers, arabic_labels, min_filled)
     # A block's value stands before a strip's of the same label.
     summary = values.unionByName(strips.join(values, ["doc_id", "label"], "left_anti"))
-    return Extracted(headers, tables.clean_values(body, headers, fix_arabic).drop("header"), summary)
+    return Extracted(headers, settle(tables.clean_values(body, headers, fix_arabic).drop("header"), "values"), summary)
 
 
 def format_dynamic(found: Extracted, year_now: int) -> DataFrame:
@@ -50,11 +56,11 @@ def format_profile(found: Extracted, suppliers: DataFrame, rules: Rules, year_no
 def transactions(cells: DataFrame, texts: DataFrame, rules: Rules, year_now: int, fix_arabic: bool = True) -> tuple[DataFrame, DataFrame]:
     """(transactions, summary) of a mixed batch: documents of a known supplier by its profile where their headers fit it, others by fuzzy mapping.
 
-    ``texts`` has (doc_id, text). The choice is a column of the plan, so the whole batch is one job.
+    ``texts`` has (doc_id, text). The choice is made by table in the plan, so a mixed batch goes through together.
     """
     found = extract(cells, fix_arabic)
     known = texts.select("doc_id", mapping.detect_supplier(F.col("text"), rules.identifiers).alias("supplier")).where("supplier is not null")
-    mapped = mapping.map_profile(found.headers.join(known, "doc_id"), rules)
+    mapped = settle(mapping.map_profile(found.headers.join(known, "doc_id"), rules), "mapped")
     fits = mapping.profile_fits(mapped).where("fits").select(*tables.TABLE)
     by_profile = standardize.standardize(found.body.join(fits, list(tables.TABLE), "left_semi"), mapped, year_now, rules.standard_columns)
     rest = Extracted(found.headers.join(fits, list(tables.TABLE), "left_anti"), found.body.join(fits, list(tables.TABLE), "left_anti"), found.summary)
