@@ -37,7 +37,7 @@ class Condition:
         return v >= self.threshold if self.above else v <= self.threshold
 
     def __str__(self) -> str:
-        return f"{self.feature} {'>=' if self.above else '<='} {self.threshold:.6g}"
+        return f"{self.feature} {'>=' if self.above else '<='} {self.threshold!r}"
 
 
 Rule = tuple[Condition, ...]
