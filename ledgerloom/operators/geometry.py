@@ -51,12 +51,14 @@ def otsu(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, threshold): the midpoint between neighbours in order that parts the values best in two; null for one value."""
     by = W.partitionBy(*keys).orderBy(value)
     upto, whole = by.rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*keys)
-    seen = df.select(*keys, value, F.row_number().over(by).alias("i"), F.sum(value).over(upto).alias("s"), F.count(F.lit(1)).over(whole).alias("n"), F.sum(value).over(whole).alias("all"), F.lead(value).over(by).alias("next"))
-    w0 = F.col("i") / F.col("n")
-    spread = w0 * (1 - w0) * F.pow(F.col("s") / F.col("i") - (F.col("all") - F.col("s")) / (F.col("n") - F.col("i")), 2)
-    cut = seen.where("i < n").withColumn("b", spread)
-    best = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("b").desc(), "i"))
-    cut = cut.withColumn("k", best).where("k = 1").select(*keys, ((F.col(value) + F.col("next")) / 2).alias("threshold"))
+    # One struct, so that no key or value column can clash with a working name.
+    seen = F.struct(F.row_number().over(by).alias("i"), F.sum(value).over(upto).alias("s"), F.count(F.lit(1)).over(whole).alias("n"), F.sum(value).over(whole).alias("all"), F.lead(value).over(by).alias("next"))
+    at = lambda f: F.col(f"__seen.{f}")
+    w0 = at("i") / at("n")
+    spread = w0 * (1 - w0) * F.pow(at("s") / at("i") - (at("all") - at("s")) / (at("n") - at("i")), 2)
+    cut = df.select(*keys, value, seen.alias("__seen")).where("__seen.i < __seen.n").withColumn("__spread", spread)
+    best = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("__spread").desc(), at("i")))
+    cut = cut.withColumn("__nth", best).where("__nth = 1").select(*keys, ((F.col(value) + at("next")) / 2).alias("threshold"))
     return df.select(*keys).distinct().join(cut, list(keys), "left")
 
 
