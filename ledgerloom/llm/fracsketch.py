@@ -6,7 +6,9 @@ whatever their lengths: the sketch of a union is the union of the sketches, and
 found in a large one's estimates its containment without bias from the large one's size.
 
 A document with words whose hashes all lie above the threshold keeps its smallest hash instead; after a merge such a
-hash goes as soon as one below the threshold is there, which is again what the union itself would have kept.
+hash goes as soon as one below the threshold is there, which is again what the union itself would have kept. Such a hash
+alone says nothing about a longer document, so comparisons that miss it give null; the query compares documents of fewer
+than EXACT kept hashes by all their shingles instead.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from ledgerloom.llm.shared import documents, parts_for
 SHINGLE_WORDS = 5
 #: One hash in so many is kept.
 SCALE = 8
+#: Sketches of fewer hashes (about 128 shingles) are too small to estimate from: the texts are compared exactly.
+EXACT = 16
 #: Documents that one task orders by id, as a mean.
 ROWS_PER_RANGE = 2_000
 #: Ranges at most: their first keys are broadcast, two numbers each.
@@ -50,6 +54,11 @@ def sketch(text: Column, words: int = SHINGLE_WORDS, scale: int = SCALE) -> Colu
     return F.when(bare == "", F.array().cast("array<bigint>")).otherwise(named(hashes, lambda a: named(shingles(a), kept)))
 
 
+def all_shingles(text: Column, words: int = SHINGLE_WORDS) -> Column:
+    """Sorted array<bigint> of all distinct shingle hashes: a sketch that keeps every hash."""
+    return sketch(text, words, 1)
+
+
 def _below(h: Column, scale: int) -> Column:
     """As an unsigned number the hash lies below 2**64 / scale: its upper half decides."""
     return F.shiftrightunsigned(h, 32) < (1 << 32) // scale
@@ -68,15 +77,39 @@ def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
     return F.when(F.size(low) > 0, F.array_sort(low)).when(F.size(both) > 0, F.array(_unsigned(least))).otherwise(both)
 
 
+def _unknown(a: Column, scale: int = SCALE) -> Column:
+    """The sketch is a single hash above the threshold."""
+    return (F.size(a) == 1) & ~_below(F.get(a, 0), scale)
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated resemblance of two documents, 0 to 1: shared over all kept hashes; two documents without words are alike."""
+    """Estimated resemblance of two documents, 0 to 1: shared over all kept hashes; two documents without words are alike.
+
+    Null where a sketch that is one hash above the threshold is not in the other, which has words too.
+    """
     shared = F.size(F.array_intersect(a, b))
     union = F.size(a) + F.size(b) - shared
-    return F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
+    unknown = (shared == 0) & (F.size(a) > 0) & (F.size(b) > 0) & (_unknown(a) | _unknown(b))
+    return F.when(union == 0, F.lit(1.0)).when(~unknown, shared / union)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of ``a``'s shingles that ``b`` has; 1 where ``a`` has none."""
+    """Estimated share of ``a``'s shingles that ``b`` has; 1 where ``a`` has none, null where ``likeness`` is for ``a``'s sake."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(~((shared == 0) & (F.size(b) > 0) & _unknown(a)), shared / F.size(a))
+
+
+def exact_likeness(a: Column, b: Column) -> Column:
+    """Resemblance of two texts over all their shingles."""
+    a, b = all_shingles(a), all_shingles(b)
+    shared = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - shared
+    return F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
+
+
+def exact_containment(a: Column, b: Column) -> Column:
+    """The share of text ``a``'s shingles that text ``b`` has; 1 where ``a`` has none."""
+    a, b = all_shingles(a), all_shingles(b)
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
@@ -119,13 +152,14 @@ def op7_fracsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     found = both.withColumn("edited", edited).withColumn("edited_sketch", sketch(F.col("edited")))
+    small = lambda *sketches: F.least(*[F.size(c) for c in sketches], F.lit(EXACT)) < EXACT
     return found.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_string(F.col("sketch")).alias("fingerprint"),
         as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_in_edited"),
+        F.when(small("sketch", "edited_sketch"), exact_likeness(F.col("text"), F.col("edited"))).otherwise(likeness(F.col("sketch"), F.col("edited_sketch"))).alias("near_edited"),
+        F.when(small("sketch", "next_sketch"), exact_likeness(F.col("text"), F.col("next_text"))).otherwise(likeness(F.col("sketch"), F.col("next_sketch"))).alias("near_next"),
+        F.when(small("sketch"), exact_containment(F.col("text"), F.col("edited"))).otherwise(containment(F.col("sketch"), F.col("edited_sketch"))).alias("contained_in_edited"),
     )
