@@ -185,14 +185,15 @@ def pack(found: DataFrame, capacity: int = CAPACITY, slack: int = NEARLY_FULL, i
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("bigint").alias("offset"))
     items = found.select(F.col("length").cast("int").alias("used"), (F.col("length") >= capacity - slack).alias("full"), F.array(member).alias("members"))
     numbered = items.where("full").select(F.monotonically_increasing_id().alias("bin"), "used", "full", "members")
-    done, live = [numbered], items.where("not full").select("used", "members")
+    # Numbers of their own in case no round runs.
+    done, live = [numbered], items.where("not full").select((F.monotonically_increasing_id() + F.lit(1 << 62)).alias("bin"), "used", "full", "members")
     waiting = live.count()
     for number in range(1, max_rounds + 1):
         if not waiting:
             break
         tasks = parts_for(waiting, items_per_task)
         # Dealt by a hash of the first member, so a lost task finds the same rows again.
-        dealt = live.repartition(tasks, F.xxhash64(F.element_at("members", 1), F.lit(number)))
+        dealt = live.select("used", "members").repartition(tasks, F.xxhash64(F.element_at("members", 1), F.lit(number)))
         packed = materialize(dealt.mapInPandas(_packer(capacity, slack, number), ITEM), f"round{number}")
         done.append(packed.where("full"))
         live = packed.where("not full")
@@ -202,9 +203,8 @@ def pack(found: DataFrame, capacity: int = CAPACITY, slack: int = NEARLY_FULL, i
             done.append(live)
             break
         waiting = left
-        live = live.select("used", "members")
     else:
-        done.append(live.select(F.lit(0).cast("long").alias("bin"), "used", F.lit(False).alias("full"), "members").where("false"))
+        done.append(live)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
