@@ -104,22 +104,6 @@ def test_language_model_query(spark, small):
     assert len(twice) == 2 and twice[0] == twice[1]
 
 
-def test_seating_gives_a_distribution():
-    rng = np.random.default_rng(1)
-    key = np.unique(rng.integers(0, 40, 300) * pitmanyor.WIDTH + rng.integers(0, 9, 300))
-    count = rng.integers(1, 30, len(key))
-    word = np.unique(key // pitmanyor.WIDTH, return_inverse=True)[1]
-    seen = int(word.max()) + 1
-    none = np.empty(0, np.int64)
-    b = pitmanyor.Bucket(seen + 1, word, key % pitmanyor.WIDTH, count, none, none, none, none, none)
-    seated = pitmanyor.sample_bucket(b, b.sums(), 4)
-    g = pitmanyor.seated_sums(b, seated)
-    for context in (0, 3, 8, 50):
-        p = pitmanyor.pair_probabilities(b, seated, g, np.arange(seen + 1), np.full(seen + 1, context))
-        assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
-    assert (seated.tables <= count).all() and (seated.tables >= 1).all()
-
-
 def test_context_helps(spark):
     """Where words follow each other, the model beats the base on held-out texts."""
     text = " ".join(["alpha bravo charlie delta"] * 12)
