@@ -1,21 +1,26 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A 64-bit fingerprint is eight positional bytes. Two fingerprints that differ in at most ``b`` bits share at least
-``8 - b`` of them, the guaranteed minimum of matches (6 for two bits). Tallying shared bytes over single-byte postings
-would pair a 256th of the table with itself, so the index keeps postings of the guaranteed minimum's length: a pair
-tallies six matches exactly if it meets in a posting of six positional bytes, of which there are C(8, 6) = 28 a
-fingerprint. Postings of one fingerprint go before any pair is made; in the others the tally is completed over the
-remaining bytes and the pair verified bit by bit. A posting has 65,536 different fingerprints at most, since 16 bits are
-left; large ones look up the 137 neighbours within two bits instead of comparing pairs, so no hot group is quadratic.
-
-Only distinct fingerprints enter the index (copies stand behind a representative), each posting reports a spanning star
-of its linked groups, and components are found by contracting edges round by round, never on the driver.
+``8 - b`` of them (6 for two bits). Postings of single bytes would pair a 256th of the table with itself, so a posting is
+five positional bytes, one less than the least that a pair shares: a fingerprint stands in C(8, 5) = 56 postings, and a
+pair that shares six bytes meets in C(6, 5) = 6 of them, the guaranteed minimum; one that shares seven or eight, in more.
+Meetings are tallied over all postings by pair, pairs below the minimum go, and the rest is verified bit by bit.
+
+Postings of one fingerprint go before any pair is made. In one of more than PAIRWISE (different) fingerprints pairs would
+grow with the square: there each fingerprint looks up its neighbours within the bits that the posting leaves free, which
+finds every link of that posting at once, and a spanning star of each linked group is handed on. A pair that meets in such
+a posting needs no tally; all others meet in small ones only and are tallied whole. So nothing is dropped and no group is
+quadratic.
+
+Only distinct fingerprints enter the index (copies stand behind a representative), and components are found by
+contracting edges round by round, never on the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +34,8 @@ from ledgerloom.llm.shared import documents, materialize, slices, utf8
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_BITS = 2
-#: Postings up to this size compare pairs; larger ones look up neighbours.
-PAIRWISE = 64
+#: Postings up to this size hand on their pairs for the tally; larger ones look up neighbours.
+PAIRWISE = 16
 
 
 def fingerprint(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -71,37 +76,37 @@ def with_fingerprints(df: DataFrame, words: int = SHINGLE_WORDS, text: str = "te
     return df.select(F.col(key), utf8(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, fp long")
 
 
-def posting_links(fps: np.ndarray, reps: np.ndarray, keys: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (representative, representative) between rows of equal key whose fingerprints differ in ``max_bits`` bits at most.
-
-    ``keys`` is sorted. Runs of up to PAIRWISE rows are compared by shifts, longer ones by looking up neighbours.
-    """
-    edges: list[tuple[np.ndarray, np.ndarray]] = []
+def meetings(fps: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of each posting of 2 to PAIRWISE rows, smaller fingerprint first. Rows are ordered by posting (``keys``), then fingerprint."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     lengths = np.diff(np.r_[starts, len(keys)])
     run_len = np.repeat(lengths, lengths)
     small = np.flatnonzero((run_len > 1) & (run_len <= PAIRWISE))
+    low, high = [fps[:0]], [fps[:0]]
     if small.size:
-        f, r, k = fps[small], reps[small], keys[small]
+        f, k = fps[small], keys[small]
         for shift in range(1, int(run_len[small].max())):
             same = np.flatnonzero(k[shift:] == k[:-shift])
-            near = same[np.bitwise_count(f[same + shift] ^ f[same]) <= max_bits]
-            edges.append((r[near], r[near + shift]))
-    flips = [sum(1 << b for b in c) for n in range(1, max_bits + 1) for c in combinations(range(64), n)]
+            low.append(f[same])
+            high.append(f[same + shift])
+    return np.concatenate(low), np.concatenate(high)
+
+
+def neighbours(fps: np.ndarray, keys: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs within ``max_bits`` bits of each posting of more than PAIRWISE rows, found by flipping the bits that vary in it."""
+    low, high = [fps[:0]], [fps[:0]]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    lengths = np.diff(np.r_[starts, len(keys)])
     for s, n in zip(starts[lengths > PAIRWISE], lengths[lengths > PAIRWISE], strict=True):
-        order = np.argsort(fps[s : s + n])
-        f, r = fps[s : s + n][order], reps[s : s + n][order]
-        free = int(np.bitwise_or.reduce(f ^ f[0]))
-        for flip in flips:
-            if flip & ~free:
-                continue
+        f = np.sort(fps[s : s + n])
+        varying = [b for b in range(64) if int(np.bitwise_or.reduce(f ^ f[0])) >> b & 1]
+        for flip in (sum(1 << b for b in c) for k in range(1, max_bits + 1) for c in combinations(varying, k)):
             other = f ^ np.uint64(flip)
             at = np.searchsorted(f, other)
             hit = np.flatnonzero((at < n) & (f[np.minimum(at, n - 1)] == other) & (other > f))
-            edges.append((r[hit], r[at[hit]]))
-    if not edges:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])
+            low.append(f[hit])
+            high.append(other[hit])
+    return np.concatenate(low), np.concatenate(high)
 
 
 def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,32 +128,34 @@ def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[out], nodes[label[out]]
 
 
-def near_links(reps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links (u, v) between representatives, u > v, that span every group joined by ``max_bits`` or fewer differing bits.
+def tally(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(u, v, met, joined): how often each pair of fingerprints meets in small postings, and whether a large one has joined it.
 
-    ``reps`` has one row (fp, rep) for each distinct fingerprint.
+    ``fps`` has one row (fp) for each distinct fingerprint. A joined pair belongs to one group; it need not be a link itself.
     """
     need = 8 - max_bits  # positional bytes that a pair shares at least
-    if need < 1:
-        raise ValueError("the byte-position index needs max_bits below 8")
-    masks = [sum(0xFF << (8 * p) for p in range(8) if p not in gone) for gone in combinations(range(8), max_bits)]
+    if need < 2:
+        raise ValueError("the byte-position index needs max_bits below 7")
+    masks = [sum(0xFF << (8 * p) for p in kept) for kept in combinations(range(8), need - 1)]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    postings = reps.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("pos", "bytes"))
-    # The low bytes that a mask clears are free: the posting's number is kept apart so that equal bytes at other positions stay apart.
+    postings = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("pos", "bytes"))
+    # The bytes that a mask clears are free: the posting's number is kept apart so that equal bytes at other positions stay apart.
     postings = postings.withColumn("pos", F.col("pos").cast("tinyint")).repartition("pos", "bytes").sortWithinPartitions("pos", "bytes", "fp")
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            pos, key, fp, rep = cols
-            change = np.r_[True, (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])]
-            u, v = posting_links(fp.view(np.uint64), rep, np.cumsum(change), max_bits)
-            if len(u):
-                u, v = star(u, v)
-                yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            pos, key, fp = cols
+            number = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])])
+            met = meetings(fp, number)
+            near = neighbours(fp.view(np.uint64), number, max_bits)
+            u, v = star(near[0].view(np.int64), near[1].view(np.int64)) if len(near[0]) else near
+            low, high = np.r_[met[0], np.minimum(u, v).view(np.int64)], np.r_[met[1], np.maximum(u, v).view(np.int64)]
+            if len(low):
+                yield pa.record_batch([pa.array(low), pa.array(high), pa.array(np.arange(len(low)) >= len(met[0]))], ["u", "v", "joined"])
 
         carry: list[np.ndarray] | None = None
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("pos", "bytes", "fp", "rep")]
+            cols = [batch.column(c).to_numpy() for c in ("pos", "bytes", "fp")]
             if carry is not None:
                 cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
             if not len(cols[0]):
@@ -161,7 +168,18 @@ def near_links(reps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         if carry is not None and len(carry[0]):
             yield from flush(carry)
 
-    return postings.select("pos", "bytes", "fp", "rep").mapInArrow(link, "u long, v long").distinct()
+    found = postings.select("pos", "bytes", "fp").mapInArrow(meet, "u long, v long, joined boolean")
+    return found.groupBy("u", "v").agg(F.count_if(~F.col("joined")).alias("met"), F.bool_or("joined").alias("joined"))
+
+
+def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Links (u, v) between fingerprints that span every group joined by ``max_bits`` or fewer differing bits.
+
+    The count filter keeps pairs that met as often as the guaranteed minimum; what it keeps is verified.
+    """
+    least = comb(8 - max_bits, 7 - max_bits)
+    near = (F.col("met") >= least) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
+    return tally(fps, max_bits).where(F.col("joined") | near).select("u", "v")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -207,18 +225,11 @@ def near_duplicates(df: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = M
     the id. A null id never is a component_id; a component of null ids only has a null one. An empty table gives none.
     """
     docs = materialize(with_fingerprints(df, words), "fingerprints")
-    reps = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", "least", F.monotonically_increasing_id().alias("spare")), "representatives")
-    # Without an id, or with one that another fingerprint has too, the smallest id can't stand for the fingerprint.
-    shared = reps.groupBy("least").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or least is null").limit(1).count()
-    if not shared:
-        found = components(near_links(reps.select("fp", F.col("least").alias("rep"))))
-        ids = reps.join(found, reps.least == found.node, "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    else:
-        found = components(near_links(reps.select("fp", F.col("fp").alias("rep"))))
-        group = reps.join(found, reps.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("g"))
-        low = group.groupBy("g").agg(F.min("least").alias("component_id"))
-        ids = group.join(low, "g").select("fp", "component_id")
-    return docs.join(ids, "fp").select("doc_id", "fp", "component_id")
+    reps = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "representatives")
+    found = components(near_links(reps.select("fp"), max_bits))
+    group = reps.join(found, reps.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("g"))
+    low = group.groupBy("g").agg(F.min("least").alias("component_id"))
+    return docs.join(group.join(low, "g").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

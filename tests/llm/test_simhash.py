@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -63,21 +64,43 @@ def test_dense_postings_lose_no_link(spark):
     """Thousands of fingerprints in one posting: chains over single bits, and pairs at every distance."""
     rnd = random.Random(5)
     fps = {(0xABCD << 48) | x for x in range(600)} | {0, 1, 3, 7, 0xFF, (1 << 63), (1 << 63) | 1} | {rnd.getrandbits(64) for _ in range(200)}
-    rows = [(i, f if f < 1 << 63 else f - (1 << 64)) for i, f in enumerate(sorted(fps))]
-    reps = spark.createDataFrame([(f, i) for i, f in rows], "fp long, rep long")
-    got = {r.node: r.component for r in S.components(S.near_links(reps)).collect()}
-    want = brute_components({i: f % 2**64 for i, f in rows})
-    assert {i: got.get(i, i) for i, _ in rows} == want
+    signed = {f: f if f < 1 << 63 else f - (1 << 64) for f in fps}
+    got = {r.node: r.component for r in S.components(S.near_links(spark.createDataFrame([(f,) for f in signed.values()], "fp long"))).collect()}
+    want = brute_components({s: f for f, s in signed.items()})
+    assert {s: got.get(s, s) for s in signed.values()} == want
+
+
+def test_tally_counts_every_meeting(spark):
+    """Pairs in small postings are counted as often as they share five positional bytes; the filter keeps six meetings."""
+    rnd = random.Random(6)
+    fps = [rnd.getrandbits(64) for _ in range(60)]
+    for f in fps[:40]:
+        g = f
+        for p in rnd.sample(range(8), rnd.choice((1, 2, 3))):
+            g ^= rnd.randint(1, 255) << (8 * p)
+        fps.append(g)
+    fps += [f ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for f in fps[:30]]
+    signed = sorted({f if f < 1 << 63 else f - (1 << 64) for f in fps})
+    want = {}
+    for i, u in enumerate(signed):
+        for v in signed[i + 1 :]:
+            shared = sum((u ^ v) >> (8 * p) & 255 == 0 for p in range(8))
+            if shared >= 5:
+                want[u, v] = math.comb(shared, 5)
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    assert {(r.u, r.v): r.met for r in S.tally(df).collect()} == want
+    near = {(u, v) for u, v in want if ((u ^ v) % 2**64).bit_count() <= 2}
+    assert {(r.u, r.v) for r in S.near_links(df).collect()} == near
+    assert min(want[p] for p in near) >= 6 and min(want.values()) == 1
 
 
 @pytest.mark.parametrize("bits", [1, 2])
-def test_posting_links_pairwise_and_by_lookup_agree(bits):
+def test_neighbours_are_all_pairs_within_the_bits(bits):
     rnd = np.random.default_rng(1)
     f = np.unique(rnd.integers(0, 1 << 16, 700).astype(np.uint64))
-    keys, reps = np.zeros(len(f), np.int64), np.arange(len(f))
-    links = {tuple(sorted(e)) for e in zip(*S.posting_links(f, reps, keys, bits), strict=True)}
-    want = {(j, i) for i in range(len(f)) for j in range(i) if int(f[i] ^ f[j]).bit_count() <= bits}
-    assert links == want
+    links = {tuple(map(int, e)) for e in zip(*S.neighbours(f, np.zeros(len(f), np.int64), bits), strict=True)}
+    want = {(int(a), int(b)) for a in f for b in f if a < b and int(a ^ b).bit_count() <= bits}
+    assert links == want and len(S.meetings(f, np.zeros(len(f), np.int64))[0]) == 0
 
 
 def test_chain_components(spark):
