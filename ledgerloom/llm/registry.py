@@ -1,5 +1,6 @@
 """The subpackage's queries and their SQL, for ``__spark_entry__.py``."""
 
+from ledgerloom.llm import oracles
 from ledgerloom.llm.fracsketch import op7_fracsketch
 from ledgerloom.llm.gam import op5_quality_gam
 from ledgerloom.llm.hilbert import op1_hilbert_shards
@@ -24,4 +25,5 @@ QUERIES = {
     "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others can't be said in SQL: XXH64, sampling, fitted models, a tokenizer.
+ORACLE_SQL: dict[str, str] = {"op3_secret_scan": oracles.secret_scan()}
