@@ -13,6 +13,8 @@ than EXACT kept hashes by all their shingles instead.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,8 +28,10 @@ SCALE = 8
 EXACT = 16
 #: Documents that one task orders by id, as a mean.
 ROWS_PER_RANGE = 2_000
-#: Ranges at most: their first keys are broadcast, two numbers each.
-MAX_RANGES = 100_000
+#: Ranges at most, since their bounds lie in the plan and their first rows' keys are broadcast; beyond, ranges grow and their sorts spill.
+MAX_RANGES = 65_536
+#: Bounds that a row's key is compared with at once: the group first, then the bound in it.
+FAN = 256
 
 
 def sketch(text: Column, words: int = SHINGLE_WORDS, scale: int = SCALE) -> Column:
@@ -118,36 +122,63 @@ def as_string(s: Column) -> Column:
 
 
 def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds sketch (array<bigint>); every row for itself, all other columns as they are."""
+    """Adds sketch (array<bigint>); every row for itself, all other columns as they are (none may be called sketch)."""
+    if "sketch" in df.columns:
+        raise ValueError("a column is called sketch already")
     return df.withColumn("sketch", sketch(F.col(text)))
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], derive: dict[str, Column], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def _place(key: Column, bounds: list[int], ties: Column) -> Column:
+    """The number of the range that ``key`` falls in: how many of the ascending ``bounds`` lie below it.
+
+    A key that is a bound, or several (one that many rows share), spreads over the ranges around it by ``ties`` in [0, 1).
+    """
+    if not bounds:
+        return F.lit(0)
+    all_bounds = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded to one literal
+    firsts = F.split(F.lit(",".join(map(str, bounds[::FAN]))), ",").cast("array<bigint>")
+
+    def below(test: Callable[[Column], Column]) -> Column:
+        group = F.greatest(F.size(F.filter(firsts, test)) - 1, F.lit(0))
+        return group * FAN + F.size(F.filter(F.slice(all_bounds, group * FAN + 1, F.lit(FAN)), test))
+
+    low, high = below(lambda b: b < key), below(lambda b: b <= key)
+    return low + F.floor((high - low + 1) * ties).cast("int")
+
+
+def with_next(df: DataFrame, key: str, columns: list[str], derive: dict[str, Column], tie: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Adds ``derive`` and next_<c> for each of ``columns`` (derived ones too): its value in the row of the next smaller ``key``; after the last row, in the first.
 
-    Rows are dealt to ranges of the whole-number key and ordered within each. The first row of the range below is dealt
-    to a range once more, behind its last row, so no task sees the whole order and rows are moved once. Null keys come
-    last; rows of equal keys follow each other in any order; a single row is its own next; no rows give none.
+    Rows are dealt to ranges of the whole-number key between its quantiles and ordered within each. The first row of the
+    range below is dealt to a range once more, behind its last row, so no task sees the whole order and rows are moved
+    once. Null keys come last, like the smallest long; rows of equal keys follow each other by a hash of column ``tie``
+    (those of equal ties in any order), and many of them are split between ranges; a single row is its own next; no rows
+    give none. Columns that begin with two underscores are for its own use.
     """
-    low, high, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
+    ordered = df.withColumns({"__key": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), "__tie": F.shiftrightunsigned(F.xxhash64(tie), 11) / F.lit(float(1 << 53))})
+    n = df.count()
     ranges = min(parts_for(n, rows_per_range), MAX_RANGES)
-    low, high = (low or 0) >> 2, (high or 0) >> 2  # a quarter: differences of any two longs stay longs
-    at = F.expr(f"coalesce(int((shiftright(`{key}`, 2) - ({low})) div {-(-(high - low + 1) // ranges)}), -1)")
-    ranged = df.withColumn("__range", at)
-    heads = ranged.groupBy("__range").agg(F.max(key).alias("__head"))
-    # MAX_RANGES + 1 rows of two numbers: a range's first row goes behind the range above; the highest range's, behind the lowest.
+    bounds = []
+    if ranges > 1:
+        shares = [i / ranges for i in range(1, ranges)]
+        bounds = sorted(ordered.agg(F.percentile_approx("__key", shares, max(10_000, 20 * ranges))).first()[0])
+    ranged = ordered.withColumn("__range", _place(F.col("__key"), bounds, F.col("__tie")))
+    heads = ranged.groupBy("__range").agg(F.max(F.struct("__key", "__tie")).alias("__head"))
+    # MAX_RANGES rows of four numbers at most: a range's first row goes behind the range above; the highest range's, behind the lowest.
     above = F.coalesce(F.lead("__range").over(W.orderBy("__range")), F.min("__range").over(W.orderBy("__range")))
     heads = heads.select("__head", F.col("__range").alias("__own"), above.alias("__to"))
-    again = ranged.join(F.broadcast(heads), (F.col("__range") == F.col("__own")) & F.col(key).eqNullSafe(F.col("__head")))
-    again = again.select(*df.columns, F.col("__to").alias("__range"), F.lit(1).alias("__again"))
+    again = ranged.join(F.broadcast(heads), (F.col("__range") == F.col("__own")) & (F.struct("__key", "__tie") == F.col("__head")))
+    again = again.select(*ordered.columns, F.col("__to").alias("__range"), F.lit(1).alias("__again"))
     dealt = ranged.withColumn("__again", F.lit(0)).unionByName(again).repartition("__range").withColumns(derive)
-    order = W.partitionBy("__range").orderBy("__again", F.col(key).desc_nulls_last())
-    return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where("__again = 0").drop("__again", "__range")
+    order = W.partitionBy("__range").orderBy("__again", F.col("__key").desc(), F.col("__tie").desc())
+    found = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where("__again = 0")
+    return found.drop("__again", "__range", "__key", "__tie")
 
 
 def op7_fracsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness; rows of equal ids follow each other by their texts' hash."""
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = with_next(docs, "doc_id", ["text", "sketch"], {"sketch": sketch(F.col("text"))})
+    both = with_next(docs, "doc_id", ["text", "sketch"], {"sketch": sketch(F.col("text"))}, "text")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
