@@ -9,6 +9,7 @@ Rounds end when joining no longer closes bins. What a bin holds travels with it,
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -29,6 +30,8 @@ END = 0
 #: A bin with at most so many free tokens leaves the tree.
 NEARLY_FULL = 8
 ITEMS_PER_TASK = 40_000
+#: Pieces in the items of one task, as a mean.
+MEMBERS_PER_TASK = 400_000
 #: Words whose ids a Python worker remembers between batches.
 REMEMBERED = 500_000
 TRAILING = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -44,14 +47,36 @@ def _tokenizer(path: str) -> tuple[object, dict[bytes, bytes]]:
     return _memory[path]
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte: itself where it is printable, else the next free one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+
+
+_BYTES = _byte_letters()
+
+
 def _pieces_of(word: bytes) -> tuple[bytes, ...]:
     """``word`` or its body and trailing ASCII punctuation, which the pre-tokenizer separates anyhow."""
     body = word.rstrip(TRAILING)
-    if body and len(body) < len(word) and body[-1:].isalpha() and b"<" not in word:
+    if body and len(body) < len(word) and b"<" not in word and body.decode()[-1].lower().isalpha():
         return body, word[len(body) :]
     return (word,)
 
 
+def _letters(piece: bytes) -> str | None:
+    """What the vocabulary's merges see of a piece that its normaliser and pre-tokenizer leave whole: letters only; null for other pieces."""
+    s = piece.decode()
+    if s.isascii():
+        return s.lower() if s.isalpha() else None
+    # Capital sigma has two small letters; beyond U+2000 letters may be newer than the vocabulary's tables.
+    if "\u03a3" in s or max(s) >= "\u2000" or not unicodedata.is_normalized("NFC", s):
+        return None
+    s = s.lower()
+    return s.encode().decode("latin-1").translate(_BYTES) if s.isalpha() else None
+
+
 def _encoded(words: list[bytes], tokenizer: object, known: dict[bytes, bytes]) -> list[bytes]:
     """Each word's ids as uint32 bytes. What is new is encoded in pieces and remembered while there is room."""
     blobs = [known.get(w) for w in words]
@@ -59,9 +84,15 @@ def _encoded(words: list[bytes], tokenizer: object, known: dict[bytes, bytes]) -
     if missing:
         parts = [_pieces_of(words[i]) for i in missing]
         new = list({p for w in parts for p in w if p not in known})
-        fresh: dict[bytes, bytes] = {}
-        for k in range(0, len(new), 20_000):
-            chunk = new[k : k + 20_000]
+        merges, fresh, rest = tokenizer.model, {}, []
+        for p in new:
+            letters = _letters(p)
+            if letters is None:
+                rest.append(p)
+            else:
+                fresh[p] = array("I", [t.id for t in merges.tokenize(letters)]).tobytes()
+        for k in range(0, len(rest), 20_000):
+            chunk = rest[k : k + 20_000]
             for p, e in zip(chunk, tokenizer.encode_batch([c.decode() for c in chunk], add_special_tokens=False), strict=True):
                 fresh[p] = array("I", e.ids).tobytes()
         both = ChainMap(fresh, known) if len(known) + len(new) + len(missing) > REMEMBERED else known
@@ -167,7 +198,7 @@ def _packer(capacity: int, slack: int, label: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        frames = list(frames)  # ITEMS_PER_TASK rows of a few dozen bytes
+        frames = list(frames)  # items_per_task rows and MEMBERS_PER_TASK members, as a mean
         rows = [(int(u), [dict(x) for x in m]) for f in frames for u, m in zip(f["used"], f["members"], strict=True)]
         base = (label << 56) + (TaskContext.get().partitionId() << 28)
         out = [(base + i, used, full, members) for i, (used, full, members) in enumerate(_pack(rows, capacity, slack))]
@@ -177,27 +208,33 @@ def _packer(capacity: int, slack: int, label: int):
     return run
 
 
+def dealt(live: DataFrame, tasks: int, number: int) -> DataFrame:
+    """The items of a written table over ``tasks`` partitions, by a hash of their places in it."""
+    numbered = live.select("used", "members", F.xxhash64(F.monotonically_increasing_id(), F.lit(number)).alias("__deal"))
+    return numbered.repartition(tasks, "__deal").select("used", "members")
+
+
 def pack(found: DataFrame, capacity: int = CAPACITY, slack: int = NEARLY_FULL, items_per_task: int = ITEMS_PER_TASK, max_rounds: int = 12) -> DataFrame:
     """``found`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset, gapless from 0 in each sequence.
 
     Any piece fits (lengths are 1 to ``capacity``); repeated rows are packed as often as they come; no rows give none.
+    ``found`` should be a written table: rows are dealt by their place in it, so that a task that is lost finds the same
+    ones again, and equal rows spread like others.
     """
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("bigint").alias("offset"))
     items = found.select(F.col("length").cast("int").alias("used"), (F.col("length") >= capacity - slack).alias("full"), F.array(member).alias("members"))
-    numbered = items.where("full").select(F.monotonically_increasing_id().alias("bin"), "used", "full", "members")
+    ready = items.where("full").select(F.monotonically_increasing_id().alias("bin"), "used", "full", "members")
     # Numbers of their own in case no round runs.
-    done, live = [numbered], items.where("not full").select((F.monotonically_increasing_id() + F.lit(1 << 62)).alias("bin"), "used", "full", "members")
-    waiting = live.count()
+    done, live = [ready], items.where("not full").select((F.monotonically_increasing_id() + F.lit(1 << 62)).alias("bin"), "used", "full", "members")
+    waiting, members = live.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("members")), F.lit(0))).first()
     for number in range(1, max_rounds + 1):
         if not waiting:
             break
-        tasks = parts_for(waiting, items_per_task)
-        # Dealt by a hash of the first member, so a lost task finds the same rows again.
-        dealt = live.select("used", "members").repartition(tasks, F.xxhash64(F.element_at("members", 1), F.lit(number)))
-        packed = materialize(dealt.mapInPandas(_packer(capacity, slack, number), ITEM), f"round{number}")
+        tasks = max(parts_for(waiting, items_per_task), parts_for(members, MEMBERS_PER_TASK))
+        packed = materialize(dealt(live, tasks, number).mapInPandas(_packer(capacity, slack, number), ITEM), f"round{number}")
         done.append(packed.where("full"))
         live = packed.where("not full")
-        left = live.count()
+        left, members = live.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("members")), F.lit(0))).first()
         # A single task has seen all that is left; elsewhere a round that closes or joins hardly any bins is the last.
         if tasks == 1 or left > 0.98 * waiting:
             done.append(live)
