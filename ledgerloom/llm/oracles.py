@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import secrets
+from ledgerloom.llm import hilbert, secrets
 
 
 def _text(s: str) -> str:
@@ -47,3 +47,49 @@ joined AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k =
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans FROM spans GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs LEFT JOIN joined USING (rid)"""
+
+
+def hilbert_shards(bits: int = 4) -> str:
+    """Ranks by one sort of the whole table; bins by running counts, the curve's steps and crc32 written out in SQL."""
+    dims = ("source", "lang", "size_class")
+    bins = ",\n".join(f"bin{i} AS (SELECT {d}, CAST((coalesce(sum(count(*)) OVER (ORDER BY {d} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * {1 << bits}) // (SELECT count(*) FROM docs) AS BIGINT) AS x{i} FROM docs GROUP BY {d})" for i, d in enumerate(dims))
+    joins = " ".join(f"JOIN bin{i} ON docs.{d} IS NOT DISTINCT FROM bin{i}.{d}" for i, d in enumerate(dims))
+    steps, last = [], "c0"
+
+    def step(**new: str) -> None:
+        nonlocal last
+        cols = ", ".join(f"{new.get(f'x{i}', f'x{i}')} AS x{i}" for i in range(3))
+        steps.append(f"c{len(steps) + 1} AS (SELECT rid, {cols}, {new.get('flip', 'flip')} AS flip FROM {last})")
+        last = f"c{len(steps)}"
+
+    q = 1 << (bits - 1)
+    while q > 1:
+        p = q - 1
+        for i in range(3):
+            swap = f"(xor(x0, x{i}) & {p})"
+            new = {"x0": f"CASE WHEN x{i} & {q} <> 0 THEN xor(x0, {p}) ELSE xor(x0, {swap}) END"}
+            if i:
+                new[f"x{i}"] = f"CASE WHEN x{i} & {q} <> 0 THEN x{i} ELSE xor(x{i}, {swap}) END"
+            step(**new)
+        q >>= 1
+    for i in range(1, 3):
+        step(**{f"x{i}": f"xor(x{i}, x{i - 1})"})
+    q = 1 << (bits - 1)
+    while q > 1:
+        step(flip=f"CASE WHEN x2 & {q} <> 0 THEN xor(flip, {q - 1}) ELSE flip END")
+        q >>= 1
+    place = " + ".join(f"(((xor(x{i}, flip) >> {b}) & 1) << {3 * b + 2 - i})" for b in range(bits) for i in range(3))
+    curve = ",\n".join(steps)
+    rule = "list_reduce(list_prepend(n, list_transform(range(8), lambda k: CAST(0 AS BIGINT))), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)"
+    return f"""WITH crc_table AS (SELECT list({rule} ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n)),
+hexed AS (SELECT row_number() OVER () AS rid, doc_id, source, lang, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+docs AS (SELECT rid, doc_id, source, lang, size, (length(bin(size)) * 8 + ((size << 3) >> (length(bin(size)) - 1)) - 8) AS size_class,
+  xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, size), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32 FROM hexed, crc_table),
+{bins},
+c0 AS (SELECT rid, x0, x1, x2, CAST(0 AS BIGINT) AS flip FROM docs {joins}),
+{curve},
+placed AS (SELECT rid, {place} AS hilbert FROM {last}),
+totals AS (SELECT count(*) AS n, greatest({hilbert.MIN_SALTS}, count(*) // {hilbert.ROWS_PER_SALT}) AS salts FROM docs),
+ranked AS (SELECT docs.*, hilbert, n, row_number() OVER (ORDER BY hilbert, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32), 1, 8) AS BIGINT) % salts, doc_id NULLS FIRST, text_crc32) - 1 AS r FROM docs JOIN placed USING (rid), totals)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(r * {hilbert.SHARDS} // n AS INTEGER) AS shard, CAST(r - ((r * {hilbert.SHARDS} // n) * n + {hilbert.SHARDS - 1}) // {hilbert.SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, hilbert
+FROM ranked"""

@@ -26,4 +26,4 @@ QUERIES = {
 }
 
 #: The others can't be said in SQL: XXH64, sampling, fitted models, a tokenizer.
-ORACLE_SQL: dict[str, str] = {"op3_secret_scan": oracles.secret_scan()}
+ORACLE_SQL: dict[str, str] = {"op1_hilbert_shards": oracles.hilbert_shards(), "op3_secret_scan": oracles.secret_scan()}

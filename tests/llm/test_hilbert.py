@@ -1,3 +1,4 @@
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -39,7 +40,9 @@ def brute(rows, shards):
     cols = [[r[1] for r in rows], [r[2] for r in rows], [klass(len(r[3].encode()) + 1) for r in rows]]
     code = [bins(c) for c in cols]
     at = H.curve_index([np.array([code[k][v] for v in cols[k]]) for k in range(3)], 4)
-    order = sorted(range(len(rows)), key=lambda i: (at[i], rows[i][0] % H.MIN_SALTS, rows[i][0]))
+    crc = [zlib.crc32(r[3].encode()) for r in rows]
+    salt = [int(hashlib.md5(f"{r[0]}:{c}".encode()).hexdigest()[:8], 16) % H.MIN_SALTS for r, c in zip(rows, crc, strict=True)]
+    order = sorted(range(len(rows)), key=lambda i: (at[i], salt[i], rows[i][0], crc[i]))
     out = {}
     for rank, i in enumerate(order):
         s = rank * shards // len(rows)
@@ -79,3 +82,12 @@ def test_shards_are_written_in_curve_order(spark, tmp_path):
     H.write_shards(H.hilbert_shards(df, ["source", "lang"]), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 60 and set(df.columns) <= set(back.columns)
+
+
+def test_many_values_and_hot_residues(spark):
+    """A dimension of more values than a task takes gives the same shards; ids of one residue and null ids spread over salts."""
+    rows = [(64 * i if i % 3 else None, f"v{i * 7919 % 1000}", i) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, a string, n int")
+    want = {r.n: (r.shard, r.slot) for r in H.hilbert_shards(df, ["a", "n"], tie="n").collect()}
+    got = {r.n: (r.shard, r.slot) for r in H.hilbert_shards(df, ["a", "n"], tie="n", values_per_task=90).collect()}
+    assert got == want and len(set(want.values())) == len(rows)
