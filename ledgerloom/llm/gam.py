@@ -171,14 +171,14 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Gam, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the model accepts, with their own columns."""
-    everything = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    kind = docs.schema.simpleString()
+    """The rows of ``docs`` that the model accepts, with their own columns, whatever those are called; repeated rows fare alike, null and empty texts by the score of zero features."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                x = np.array([shape_stats(t or b"") for t in part.column("text").to_pylist()], float)
-                yield part.select(["row"]).filter(pa.array(model.score(x) >= least))
+            for part in slices(batch, "row.text"):
+                texts = part.column("row").field("text").cast(pa.binary()).to_pylist()
+                x = np.array([shape_stats(t or b"") for t in texts], float)
+                yield part.filter(pa.array(model.score(x) >= least))
 
-    return everything.withColumn("text", utf8()).mapInArrow(run, f"row {kind}").select("row.*")
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")

@@ -52,10 +52,15 @@ def fold(doc_id: str | Column, n: int) -> Column:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Row ranges of ``batch`` holding about ``max_bytes`` of ``column`` each (one row at least), so working memory does not follow the batch size."""
+    """Row ranges of ``batch`` holding about ``max_bytes`` of ``column`` each (one row at least), so working memory does not follow the batch size.
+
+    ``column`` may be a field of a struct, as in "row.text".
+    """
     if batch.num_rows == 0:
         return
-    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    name, _, part = column.partition(".")
+    texts = batch.column(name).field(part) if part else batch.column(name)
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0

@@ -119,7 +119,8 @@ def test_raking_meets_its_targets():
     rng = np.random.default_rng(2)
     cells = pd.DataFrame([(a, b, c, float(rng.integers(1, 100))) for a in "xyz" for b in "pq" for c in range(4)], columns=["source", "lang", "topic", "tokens"])
     targets = {"source": {"x": 0.5, "y": 0.3, "z": 0.2}, "lang": {"p": 0.9, "q": 0.1}, "topic": {k: 0.25 for k in range(4)}}
-    w = mixing.rake(cells, targets)
+    w, off = mixing.rake(cells, targets)
+    assert off < 1e-9
     for d, t in targets.items():
         for value, share in t.items():
             assert abs(w[(cells[d] == value).to_numpy()].sum() - share) < 1e-6
