@@ -107,7 +107,10 @@ def parse_money(c: Column | str) -> Column:
         text = F.when(name, squeeze(t)).when(~d["plain"], squeeze(bare))
         return F.struct(F.when(~blank & d["plain"] & ~name, value).alias("num"), F.when(~blank, text).alias("txt"))
 
-    return named(t, lambda t: named(without_marks(t), lambda bare: named(F.regexp_replace(bare, r"(?U)\s+", ""), lambda packed: read(t, bare, packed))))
+    # Most amounts are plain whole numbers of up to nine digits: they need none of the steps below.
+    whole = lambda t: F.struct(F.replace(t, F.lit(","), F.lit("")).cast("double").alias("num"), F.lit(None).cast("string").alias("txt"))
+    loose = lambda t: named(without_marks(t), lambda bare: named(F.regexp_replace(bare, r"(?U)\s+", ""), lambda packed: read(t, bare, packed)))
+    return named(t, lambda t: F.when(t.rlike(r"^([0-9]{1,9}|[0-9]{1,3}(,[0-9]{3}){1,2})$"), whole(t)).otherwise(loose(t)))
 
 
 def _in_parentheses(t: Column) -> Column:

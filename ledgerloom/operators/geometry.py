@@ -128,6 +128,10 @@ def assign_bands(rows: DataFrame, bands: DataFrame) -> DataFrame:
     return near.withColumn("k", best).where("k = 1").drop("k", "overlap", "away", "b0", "b1")
 
 
+#: More parts than a box can hold; new numbers are the box's times this, and its part's.
+PARTS = 1 << 20
+
+
 def expand_packed(boxes: DataFrame) -> DataFrame:
     """Boxes that hold several numbers, and are tall or hold three at least, as one box for each number, from top to bottom."""
     height = F.col("y1") - F.col("y0")
@@ -140,7 +144,7 @@ def expand_packed(boxes: DataFrame) -> DataFrame:
     step = F.greatest(F.lit(1.0), height) / F.size("values")
     one = F.size("values") == 1
     top, bottom = F.when(one, F.col("y0")).otherwise(F.col("y0") + F.col("part") * step), F.when(one, F.col("y1")).otherwise(F.col("y0") + (F.col("part") + 1) * step)
-    return split.select(*PAGE, (F.col("box_id") * 1000 + F.col("part")).alias("box_id"), F.col("value").alias("text"), "x0", top.alias("y0"), "x1", bottom.alias("y1"), "confidence", "page_width")
+    return split.select(*PAGE, (F.col("box_id").cast("bigint") * PARTS + F.col("part")).alias("box_id"), F.col("value").alias("text"), "x0", top.alias("y0"), "x1", bottom.alias("y1"), "confidence", "page_width")
 
 
 def to_grid(cells: DataFrame, bands: DataFrame) -> DataFrame:

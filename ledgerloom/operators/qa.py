@@ -28,6 +28,12 @@ def review(rows: DataFrame, footers: DataFrame, key: str = "doc_id") -> DataFram
     return joined.select(key, F.coalesce("total_sum", F.lit(0.0)).alias("total_sum"), F.coalesce("net_sum", F.lit(0.0)).alias("net_sum"), judged.alias("review"))
 
 
+def box_statistics(boxes: DataFrame, words: Iterable[str] = ("date", "hotel")) -> DataFrame:
+    """(doc_id, page, boxes, max_x1, max_y1, has_<word>): how much a recognizer found on a page, and whether it found the words, in any case."""
+    has = [F.coalesce(F.bool_or(F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit(w))), F.lit(False)).alias(f"has_{w}") for w in words]
+    return boxes.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("boxes"), F.coalesce(F.max("x1"), F.lit(0.0)).alias("max_x1"), F.coalesce(F.max("y1"), F.lit(0.0)).alias("max_y1"), *has)
+
+
 def flagged(reviewed: DataFrame) -> DataFrame:
     return reviewed.where(F.col("review").isin("MISMATCH", "NO FOOTER"))
 

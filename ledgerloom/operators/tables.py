@@ -35,12 +35,28 @@ def header_rows(cells: DataFrame) -> DataFrame:
 
 
 def dedupe_headers(headers: DataFrame, keys: tuple[str, ...] = TABLE) -> DataFrame:
-    """``headers`` (keys, col_idx, header) with blank names filled and repeats numbered; a numbered name never meets another."""
+    """``headers`` (keys, col_idx, header) with blank names filled and repeats numbered; a numbered name never meets another.
+
+    The n-th repeat of a name gets the number n, or the next that no other column of the table bears.
+    """
     filled = headers.withColumn("header", F.when(F.coalesce("header", F.lit("")) == "", F.concat(F.lit("Unnamed_"), "col_idx")).otherwise(F.col("header")))
-    for _ in range(2):  # once for repeats, once for a repeat of a name that numbering made
-        nth = F.row_number().over(W.partitionBy(*keys, "header").orderBy("col_idx")) - 1
-        filled = filled.withColumn("nth", nth).withColumn("header", F.when(F.col("nth") > 0, F.concat_ws("_", "header", "nth")).otherwise(F.col("header"))).drop("nth")
-    return filled
+    nth = F.row_number().over(W.partitionBy(*keys, "header").orderBy("col_idx")) - 1
+    filled = filled.withColumn("nth", nth).withColumn("repeats", F.max("nth").over(W.partitionBy(*keys)))
+    # Tables without repeats stay as they are; the others' names are settled one after the other, as an array.
+    heads = F.array_sort(F.collect_list(F.struct("col_idx", "header", "nth")))
+    tables = filled.where("repeats > 0").groupBy(*keys).agg(heads.alias("heads"))
+
+    def settled(acc: Column, h: Column) -> Column:
+        taken = lambda k: F.array_contains(acc, F.concat_ws("_", h["header"], k)) | F.exists("heads", lambda o: o["header"] == F.concat_ws("_", h["header"], k))
+        free = lambda k: F.get(F.filter(F.sequence(k, k + F.size("heads")), lambda k: ~taken(k)), 0)
+        number = F.when(taken(h["nth"]), free(h["nth"])).otherwise(h["nth"])
+        return F.concat(acc, F.array(F.when(h["nth"] == 0, h["header"]).otherwise(F.concat_ws("_", h["header"], number))))
+
+    names = F.aggregate("heads", F.array().cast("array<string>"), settled)
+    each = tables.withColumn("names", names).select(*keys, F.explode(F.arrays_zip("heads.col_idx", "names")).alias("h"))
+    each = each.select(*keys, F.col("h.col_idx").alias("col_idx"), F.col("h.names").alias("__name"))
+    joined = filled.join(each, [*keys, "col_idx"], "left").withColumn("header", F.coalesce("__name", "header"))
+    return joined.select(*headers.columns)
 
 
 def to_frames(cells: DataFrame, fix_arabic: bool = True) -> tuple[DataFrame, DataFrame]:

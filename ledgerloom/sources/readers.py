@@ -6,26 +6,40 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import constants as K
 from ledgerloom.functions import scalars as S
 from ledgerloom.operators.geometry import BOXES
+from ledgerloom.sources.store import settle
 
 DUMP = "text string, x0 double, y0 double, x1 double, y1 double, confidence double"
 
 
+def name_below(file: Column, root: str) -> Column:
+    """A file's path below the folder ``root``, so that files of one name in different folders stay apart; of a file named itself, the last part.
+
+    Schemes don't count. A root with wildcards leaves the whole path.
+    """
+    bare = lambda c: F.regexp_replace(F.replace(c, F.lit("%20"), F.lit(" ")), r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
+    whole, folder = bare(file), F.concat(F.rtrim(bare(F.lit(root)), F.lit("/")), F.lit("/"))
+    return F.when(F.concat(whole, F.lit("/")) == folder, F.element_at(F.split(whole, "/"), -1)).when(whole.startswith(folder), F.substring(whole, F.length(folder) + 1, F.length(whole))).otherwise(whole)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, path, length, content) of the documents below ``path``; other file types are left out before their bytes are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{pdf,PDF,jpg,JPG,jpeg,JPEG,png,PNG}").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), "path", "length", "content")
+    return files.select(name_below(F.col("path"), path).alias("doc_id"), "path", "length", "content")
 
 
 def read_box_dump(spark: SparkSession, path: str) -> DataFrame:
     """Boxes of a tab-separated dump, a page a file; lines that begin with # are left out."""
     raw = spark.read.schema(DUMP).option("sep", "\t").option("comment", "#").option("quote", "").csv(path)
-    named = raw.withColumn("doc_id", F.element_at(F.split(F.input_file_name(), "/"), -1)).withColumn("at", F.monotonically_increasing_id())
-    return named.selectExpr("doc_id", "0 as page", "int(at & 2147483647) as box_id", "text", "x0", "y0", "x1", "y1", "confidence", "double(null) as page_width")
+    # A large file is read in splits: its rows are numbered by split, then by place in it.
+    named = raw.select("*", name_below(F.col("_metadata.file_path"), path).alias("doc_id"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    named = named.withColumn("box_id", F.row_number().over(W.partitionBy("doc_id").orderBy("split", "at")) - 1)
+    return named.selectExpr("doc_id", "0 as page", "box_id", "text", "x0", "y0", "x1", "y1", "confidence", "double(null) as page_width")
 
 
 def write_box_dump(boxes: DataFrame, path: str) -> None:
@@ -106,18 +120,27 @@ def parse_replies(replies: DataFrame, columns: Sequence[str] = K.REPLY_COLUMNS)
     error (null for good replies): a reply that isn't JSON, has no rows, or has a row with missing or other keys. One
     bad reply spoils no other. A plain array is rows without a footer.
     """
-    text = strip_fence(F.col("reply"))
-    found = replies.select("doc_id", text.alias("t"))
-    found = found.withColumns({"o": F.from_json("t", f"rows array<{_ROW}>, footer struct<total:string,net:string>"), "a": F.from_json("t", f"array<{_ROW}>"), "kind": F.substring("t", 1, 1)})
-    found = found.withColumn("rows", F.when(F.col("kind") == "[", F.col("a")).when(F.col("kind") == "{", F.col("o.rows")))
-    want = F.array(*map(F.lit, columns))
-    # Lambdas can't look outside their row, so the wanted keys stand in for each.
-    wrong = F.filter("rows", lambda r: r.isNull() | (F.size(F.array_except(want, F.map_keys(r))) > 0) | (F.size(F.array_except(F.map_keys(r), want)) > 0))
-    valid = F.get_json_object("t", "$").isNotNull() & F.col("kind").isin("[", "{")
-    error = F.when(~valid, "not JSON").when(F.col("rows").isNull(), "no rows").when(F.size(wrong) > 0, "wrong keys in a row")
-    found = found.withColumn("error", error)
+    found = settle(replies.select("doc_id", S.named(strip_fence(F.col("reply")), lambda t: _parsed(t, columns)).alias("r")).select("doc_id", "r.*"), "replies")
     good = found.where("error is null")
     rows = good.select("doc_id", F.posexplode("rows").alias("row_idx", "r")).select("doc_id", "row_idx", *[F.col("r")[c].alias(c) for c in columns])
-    footer = F.when(F.col("kind") == "{", F.col("o.footer"))
-    results = found.select("doc_id", F.when(F.col("error").isNull(), F.size("rows")).otherwise(0).alias("n_rows"), F.when(F.col("error").isNull(), footer["total"]).alias("footer_total"), F.when(F.col("error").isNull(), footer["net"]).alias("footer_net"), "error")
+    results = found.select("doc_id", F.when(F.col("error").isNull(), F.size("rows")).otherwise(0).alias("n_rows"), "footer_total", "footer_net", "error")
     return rows, results
+
+
+def _parsed(t: Column, columns: Sequence[str]) -> Column:
+    """struct<rows, footer_total, footer_net, error>: a reply is parsed once, and once more only to tell broken JSON from other JSON."""
+    body = F.from_json(t, f"rows array<{_ROW}>, footer struct<total:string,net:string>")
+    kind = F.substring(t, 1, 1)
+    none = F.lit(None).cast("struct<total:string,net:string>")
+    either = F.when(kind == "[", F.struct(F.from_json(t, f"array<{_ROW}>").alias("rows"), none.alias("footer"))).when(kind == "{", body)
+    want = F.array(*map(F.lit, columns))
+    # Lambdas can't look outside their row, so the wanted keys stand in for each.
+    wrong = lambda r: r.isNull() | (F.size(F.array_except(want, F.map_keys(r))) > 0) | (F.size(F.array_except(F.map_keys(r), want)) > 0)
+    broken = ~kind.isin("[", "{") | F.get_json_object(t, "$").isNull()
+
+    def judged(x: Column) -> Column:
+        error = F.when(x["rows"].isNull(), F.when(broken, "not JSON").otherwise("no rows")).when(F.exists(x["rows"], wrong), "wrong keys in a row")
+        part = lambda c: x["footer"][c].alias(f"footer_{c}")
+        return S.named(error, lambda e: F.struct(F.when(e.isNull(), x["rows"]).alias("rows"), F.when(e.isNull(), part("total")).alias("footer_total"), F.when(e.isNull(), part("net")).alias("footer_net"), e.alias("error")))
+
+    return S.named(either, judged)

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.plans.pipelines import review_replies
+from ledgerloom.sources.readers import name_below
 
 
 def read_replies(spark: SparkSession, path: str) -> DataFrame:
     """A stream of (doc_id, reply), one row a file."""
-    files = spark.readStream.format("text").option("wholetext", True).load(path)
-    return files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("doc_id"), F.col("value").alias("reply"))
+    files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
+    return files.select(name_below(F.input_file_name(), path).alias("doc_id"), F.col("value").alias("reply"))
 
 
 def review_stream(replies: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
