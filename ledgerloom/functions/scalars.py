@@ -220,7 +220,9 @@ def parse_date(c: Column | str, year_now: int) -> Column:
         return F.coalesce(full(dmy, 3, 2, 1), full(ymd, 1, 2, 3), short(number(bare, two, 1), number(bare, two, 2)))
 
     slashed = lambda t: F.regexp_replace(F.regexp_replace(t, r"[-./]", "/"), r"(?U)\s+", "")
-    return named(t, lambda t: F.coalesce(by_name(t), named(slashed(t), by_numbers), t))
+    iso = lambda t: _day(*[F.substring(t, at, n).try_cast("int") for at, n in ((1, 4), (6, 2), (9, 2))])
+    loose = lambda t: F.coalesce(by_name(t), named(slashed(t), by_numbers), t)
+    return named(t, lambda t: F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.coalesce(iso(t), t)).otherwise(loose(t)))
 
 
 def is_date_text(c: Column | str) -> Column:
@@ -251,4 +253,6 @@ def split_numbers(c: Column | str) -> Column:
         bare = F.when(F.forall(runs, lambda w: w.endswith("-")), runs).otherwise(F.transform(runs, lambda w: F.regexp_replace(w, "-$", "")))
         return F.when(t == "", F.array().cast("array<string>")).when(is_date_text(t), F.array(t)).when(spaced, words).when(packed, bare).otherwise(F.array(t))
 
-    return named(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"(?U)^\s+|\s+$", ""), split)
+    # No number has a small letter, and most boxes hold a word or one number: nothing to take apart.
+    single = lambda t: t.rlike(r"[a-z]|^[0-9][0-9,]*(?:\.[0-9]+)?$")
+    return named(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"(?U)^\s+|\s+$", ""), lambda t: F.when(single(t), F.array(t)).otherwise(split(t)))

@@ -171,10 +171,22 @@ def boxes_to_cells(boxes: DataFrame) -> DataFrame:
 # Known layouts
 
 
+def _may_be_label(text: Column, labels: Sequence[str]) -> Column:
+    """False for texts that surely resemble no label: numbers, and texts too long for matching blocks that share no word with one and contain none."""
+    if not labels:
+        return F.lit(False)
+    letters = F.lit(any(c.isdigit() for n in labels for c in n)) | text.rlike(r"\p{L}")
+    words = F.array(*[F.lit(w) for w in sorted({w for n in labels for w in n.split()})])
+    # Blocks that match cover at most the shorter text, so a text over three times as long scores below a half.
+    blocks = F.length(text) * K.TEMPLATE_LABEL_MATCH <= max(map(len, labels)) * (2 - K.TEMPLATE_LABEL_MATCH)
+    return letters & (blocks | F.arrays_overlap(F.split(text, " "), words) | S.any_of([F.contains(text, F.lit(n)) for n in labels]))
+
+
 def header_boxes(boxes: DataFrame, labels: Sequence[str]) -> DataFrame:
     """The boxes of each page's header: all in the height band that holds the most boxes resembling ``labels``."""
     known = [(n, normalized(n)) for n in labels if normalized(n)]
-    texts = boxes.select("text").distinct().withColumn("best", best_match(S.normalize_header("text"), known, label_similarity))
+    texts = boxes.select("text").distinct().withColumn("plain", S.normalize_header("text")).where(_may_be_label(F.col("plain"), [n for _, n in known]))
+    texts = texts.withColumn("best", best_match(F.col("plain"), known, label_similarity)).drop("plain")
     hits = boxes.join(texts.where(F.col("best.score") >= K.TEMPLATE_LABEL_MATCH), "text").drop("best")
     middle = hits.groupBy(*PAGE).agg((F.median(F.col("y1") - F.col("y0")) * 0.5).alias("half"))
     grouped = islands(hits.join(middle, list(PAGE)), PAGE, _cy(), F.greatest(F.lit(1.0), F.col("half")), ["box_id"], "group")
