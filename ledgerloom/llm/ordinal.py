@@ -174,7 +174,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
 
 def grade_documents(df: DataFrame, model: Ordinal, key: str = "doc_id") -> DataFrame:
-    """key, expected_severity (0 to the highest grade), p_toxic (some grade above 0) and grade (the likeliest) of every row."""
+    """key, expected_severity (0 to the highest grade), p_toxic (some grade above 0) and grade (the likeliest) of every row.
+
+    Null and empty texts hold no features, so the thresholds alone grade them; texts of any length are read whole; equal
+    texts and repeated rows get equal numbers; of equally likely grades the lower one counts; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

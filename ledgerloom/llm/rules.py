@@ -119,7 +119,7 @@ def as_sql(rules: list[Rule]) -> str:
 
 
 def statistics(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, the base statistics and one column for each shape feature."""
+    """key, the base statistics and one column for each shape feature, for every row: zeros for null and empty texts, equal numbers for repeated rows; other columns are ignored."""
     return with_stats(df, key, shape=True).select(key, *BASE, *[F.col("features")[i].alias(n) for i, n in enumerate(SHAPE)])
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,18 +21,35 @@ WORD = f"[^{WHITESPACE}]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors and the driver see: ``spark.checkpoint.dir``, or a fresh local folder where none is named (tests)."""
+    """The folder that all executors and the driver see: ``spark.checkpoint.dir``.
+
+    Where none is named and everything runs in this process (tests), a fresh local folder, which goes when the process ends.
+    """
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir") or spark.conf.get("ledgerloom.shared.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="ledgerloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
         spark.conf.set("ledgerloom.shared.dir", root)
     return root
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/ledgerloom-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all tables that this application has written between steps; call it once results are stored elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_home(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back: lineage is cut and a lost executor takes nothing with it."""
-    path = f"{shared_folder(df.sparkSession)}/ledgerloom-{uuid.uuid4().hex}/{name}"
+    path = f"{_home(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

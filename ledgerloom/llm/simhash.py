@@ -240,12 +240,15 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` less all rows of a near-duplicate group but one, that of the smallest doc_id.
 
-    Rows that share an id count as one document, of which one row stays. A row without an id goes by a hash of its text
-    (a number beyond common ids), so that different texts stay apart.
+    Rows that share an id and a text are one document, of which one row stays (by a hash of their other columns); different
+    texts under one id stay or go together, and stay if one of them is kept. A row without an id goes by a hash of its
+    text (a number beyond common ids), so that different texts stay apart.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
     keyed = docs.withColumn("__key", key)
     found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), words, max_bits)
     keepers = found.where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
     kept = keyed.join(keepers, "__key", "left_semi")
-    return kept.withColumn("__n", F.row_number().over(W.partitionBy("__key").orderBy("__key"))).where("__n = 1").select(*docs.columns)
+    others = F.xxhash64(F.to_json(F.struct(F.lit(0).alias("__0"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "doc_id")])))
+    first = W.partitionBy("__key", F.xxhash64("text"), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).orderBy(others)
+    return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)

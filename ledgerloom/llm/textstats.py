@@ -109,6 +109,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, f
     """At most ``rows`` labelled training documents (doc_id, text, y): those of smallest id hash, so equal inputs give equal samples.
 
     Only rows whose fold is not ``held`` are seen; documents whose labels are null or contradict each other are left out.
+    Rows that share an id are one document, with the smallest of their texts, so ``rows`` bounds what comes back.
     """
     from ledgerloom.llm.shared import fold
 
@@ -116,4 +117,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, f
     known = known.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("__y")).where("y = __y")
     chosen = known.select("doc_id", F.col("y").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # The limit is the bound: as many pairs of two numbers are broadcast.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
