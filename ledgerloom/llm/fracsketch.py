@@ -34,6 +34,11 @@ MAX_RANGES = 65_536
 FAN = 256
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once: transform() over a one-element array gives it a name."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def sketch(text: Column, words: int = SHINGLE_WORDS, scale: int = SCALE) -> Column:
     """Sorted array<bigint> of the kept hashes; empty for texts without words (null ones included).
 
@@ -53,8 +58,6 @@ def sketch(text: Column, words: int = SHINGLE_WORDS, scale: int = SCALE) -> Colu
     def below(h: Column) -> Column:
         return _below(h, scale)
 
-    # transform() over a one-element array gives a value a name, so that it is worked out once.
-    named = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
     return F.when(bare == "", F.array().cast("array<bigint>")).otherwise(named(hashes, lambda a: named(shingles(a), kept)))
 
 
@@ -103,18 +106,16 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).when(~((shared == 0) & (F.size(b) > 0) & _unknown(a)), shared / F.size(a))
 
 
-def exact_likeness(a: Column, b: Column) -> Column:
-    """Resemblance of two texts over all their shingles."""
-    a, b = all_shingles(a), all_shingles(b)
-    shared = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - shared
-    return F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
+def exact(a: Column, b: Column) -> Column:
+    """struct<likeness, containment> of two texts over all their shingles: their resemblance, and the share of ``a``'s that ``b`` has (1 where ``a`` has none)."""
 
+    def of(x: Column) -> Column:
+        n, union = F.size(x["a"]), F.size(x["a"]) + F.size(x["b"]) - x["shared"]
+        alike = F.when(union == 0, F.lit(1.0)).otherwise(x["shared"] / union)
+        return F.struct(alike.alias("likeness"), F.when(n == 0, F.lit(1.0)).otherwise(x["shared"] / n).alias("containment"))
 
-def exact_containment(a: Column, b: Column) -> Column:
-    """The share of text ``a``'s shingles that text ``b`` has; 1 where ``a`` has none."""
-    a, b = all_shingles(a), all_shingles(b)
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    both = lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.size(F.array_intersect(x["a"], x["b"])).alias("shared"))
+    return named(F.struct(all_shingles(a).alias("a"), all_shingles(b).alias("b")), lambda x: named(both(x), of))
 
 
 def as_string(s: Column) -> Column:
@@ -184,13 +185,18 @@ def op7_fracsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     found = both.withColumn("edited", edited).withColumn("edited_sketch", sketch(F.col("edited")))
     small = lambda *sketches: F.least(*[F.size(c) for c in sketches], F.lit(EXACT)) < EXACT
+    found = found.withColumns({
+        "with_edited": F.when(small("sketch", "edited_sketch"), exact(F.col("text"), F.col("edited"))),
+        "with_next": F.when(small("sketch", "next_sketch"), exact(F.col("text"), F.col("next_text"))),
+    })
+    estimated = lambda c, estimate: F.when(F.col(c).isNull(), estimate)
     return found.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_string(F.col("sketch")).alias("fingerprint"),
         as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
-        F.when(small("sketch", "edited_sketch"), exact_likeness(F.col("text"), F.col("edited"))).otherwise(likeness(F.col("sketch"), F.col("edited_sketch"))).alias("near_edited"),
-        F.when(small("sketch", "next_sketch"), exact_likeness(F.col("text"), F.col("next_text"))).otherwise(likeness(F.col("sketch"), F.col("next_sketch"))).alias("near_next"),
-        F.when(small("sketch"), exact_containment(F.col("text"), F.col("edited"))).otherwise(containment(F.col("sketch"), F.col("edited_sketch"))).alias("contained_in_edited"),
+        F.coalesce("with_edited.likeness", estimated("with_edited", likeness(F.col("sketch"), F.col("edited_sketch")))).alias("near_edited"),
+        F.coalesce("with_next.likeness", estimated("with_next", likeness(F.col("sketch"), F.col("next_sketch")))).alias("near_next"),
+        F.coalesce("with_edited.containment", estimated("with_edited", containment(F.col("sketch"), F.col("edited_sketch")))).alias("contained_in_edited"),
     )
