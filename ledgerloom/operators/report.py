@@ -66,8 +66,10 @@ def drop_repeats(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def to_workbook(df: DataFrame, path: str, rates: dict[str, float] | None = None) -> str:
-    """Writes the transactions, their EGP amounts and the subtotal as one CSV part, or as a workbook where openpyxl is installed and ``path`` ends in .xlsx."""
-    out = with_subtotal(with_egp(df, rates))
+    """Writes the transactions in their order, their EGP amounts and last the subtotal as one CSV part, or as a workbook where openpyxl is installed and ``path`` ends in .xlsx."""
+    numbered = with_egp(df, rates).withColumn("__at", F.monotonically_increasing_id())
+    # Joining partitions into one file keeps no order, so the one task sorts.
+    out = with_subtotal(numbered).repartition(1).sortWithinPartitions("is_total", "__at").drop("is_total", "__at")
     if not path.endswith(".xlsx"):
         out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
         return path
