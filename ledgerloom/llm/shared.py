@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from importlib.util import find_spec
 
 import numpy as np
 import pyarrow as pa
@@ -98,12 +99,11 @@ def parts_for(rows: int, per_part: int) -> int:
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where the public vocabulary file lies on this machine; looked up on the executor, never copied."""
-    try:
+    if find_spec("public_tokenizers"):
         import public_tokenizers
 
         return public_tokenizers.path(name)
-    except ImportError:
-        return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
+    return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
 
 
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.DictionaryArray]:
