@@ -1,18 +1,18 @@
 """Names, patterns and word lists that results depend on. Kept together, as plain text, in natural order."""
 
-# The standard transaction schema, in output order.
+# The standard transaction schema, in output order.
 STANDARD_COLUMNS = ("EGP Converter", "EGP", "GBP", "Euros", "USD", "V.NO", "Hotel", "Date", "Adult", "Child", "Inf", "Total", "Notes", "Net")
 MONEY_COLUMNS = ("EGP", "GBP", "Euros", "USD", "Total", "Net", "EGP Converter")
 COUNT_COLUMNS = ("Adult", "Child", "Inf")
 TEXT_COLUMNS = ("V.NO", "Hotel")
 
-# Columns of a JSON reply's rows, in their order.
+# Columns of a JSON reply's rows, in their order; replies with others are rejected.
 REPLY_COLUMNS = ("Date", "Hotel", "V.NO", "Adult", "Child", "Inf", "EGP", "USD", "Euros", "GBP", "Total", "Net", "Notes")
 
-# Exchange rates to EGP.
+# Exchange rates to EGP unless others are given.
 RATES = {"USD": 50.0, "Euros": 55.0, "GBP": 65.0}
 
-# Aliases by standard column (lower case).
+# Aliases by standard column (lower case); other lists would map headers otherwise.
 ALIASES = {
     "Date": ["date", "dt", "day", "date of service", "service date", "invoice date", "trip date", "التاريخ", "تاريخ", "اليوم"],
     "Hotel": ["hotel", "hotel name", "property", "resort", "الفندق", "فندق", "الاوتيل", "الأوتيل"],
@@ -30,13 +30,13 @@ ALIASES = {
     "Notes": ["notes", "note", "remarks", "remark", "comment", "comments", "ملاحظات", "ملاحظة", "ملحوظات"],
 }
 
-# Thresholds of fuzzy header matching.
+# Thresholds of fuzzy header matching.
 FUZZY_ACCEPT = 0.80
 PROFILE_KEY_MATCH = 0.85
 PROFILE_COVERAGE = 0.6
 TEMPLATE_LABEL_MATCH = 0.50
 
-# Patterns; i: in either case.
+# Patterns of currencies, totals and labels as documents write them; i: in either case.
 CID = r"\(cid:\d+\)"
 ARABIC = r"[؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿]"
 CURRENCY_CODE = r"(?iU)\b(EGP|USD|EUR|EURO|GBP|POUNDS?|L\.?E)\b"
@@ -55,7 +55,7 @@ SUMMARY_CELL = r"(?iU)^(total|sub\s?total|grand\s?total|rest|net|collection|cost
 SUMMARY_ROW = r"(?iU)^(total|sub\s?total|grand\s?total|net)\b"
 INVOICE_LABEL = r"(?iU)\binvoice\s*(?:no|num|number|date)\b\.?"
 
-# Word lists.
+# Words that tell amounts, totals and texts apart in headers and first cells.
 MONEY_HEADER_WORDS = ("usd", "egp", "eur", "eue", "euro", "gbp", "pound", "collect", "cost", "net", "total", "amount", "price", "dollar", "egy le", "cash")
 TOTAL_LABELS = ("total", "totals", "grand total", "subtotal", "sub total")
 SUMMARY_WORDS = (
@@ -72,11 +72,11 @@ NUMERIC_HEADER_WORDS = (
 BLANK_MARKS = ("", "-", "--", "—")
 LABEL_COLUMNS = ("Hotel", "Date", "V.NO", "Notes")
 
-# File types.
+# File types that are read.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png")
 DOCUMENT_SUFFIXES = (".pdf", ".jpg", ".jpeg", ".png")
 
-# Layout: pixels and fractions.
+# Layout thresholds in pixels and fractions, which decide rows and columns.
 OCR_CHARS_PER_PAGE = 40
 ROW_TOLERANCE = 0.5
 GUTTER_SHARE = 0.012
