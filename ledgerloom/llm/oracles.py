@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import hilbert, secrets
+from ledgerloom.llm import decontaminate, hilbert, secrets
 
 
 def _text(s: str) -> str:
@@ -93,3 +93,20 @@ totals AS (SELECT count(*) AS n, greatest({hilbert.MIN_SALTS}, count(*) // {hilb
 ranked AS (SELECT docs.*, hilbert, n, row_number() OVER (ORDER BY hilbert, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32), 1, 8) AS BIGINT) % salts, doc_id NULLS FIRST, text_crc32) - 1 AS r FROM docs JOIN placed USING (rid), totals)
 SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(r * {hilbert.SHARDS} // n AS INTEGER) AS shard, CAST(r - ((r * {hilbert.SHARDS} // n) * n + {hilbert.SHARDS - 1}) // {hilbert.SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, hilbert
 FROM ranked"""
+
+
+def decontaminate_docs() -> str:
+    """Every gram of a text that is as long as some window, joined with the windows."""
+    words = lambda t: f"regexp_extract_all(translate(coalesce(text, ''), {_text(decontaminate.ascii_uppercase)}, {_text(decontaminate.ascii_lowercase)}), {_text(decontaminate.WORD)}) AS w FROM {t}"
+    w = decontaminate.WINDOW
+    return f"""WITH items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words("benchmark")}),
+cut AS (SELECT item, w, least(len(w), {w}) AS n, unnest(generate_series(1, greatest(1, len(w) - {w - 1}))) AS i FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM cut),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, {words("documents")}),
+places AS (SELECT rid, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM docs, (SELECT DISTINCT n FROM windows)),
+grams AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram FROM places),
+met AS (SELECT rid, i, n, item FROM grams JOIN windows USING (n, gram)),
+hits AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(generate_series(i, i + n - 1)) AS pos FROM met) GROUP BY rid),
+named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM met) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (rid) LEFT JOIN named USING (rid)"""

@@ -1,6 +1,7 @@
 """The subpackage's queries and their SQL, for ``__spark_entry__.py``."""
 
 from ledgerloom.llm import oracles
+from ledgerloom.llm.decontaminate import op11_decontaminate
 from ledgerloom.llm.fracsketch import op7_fracsketch
 from ledgerloom.llm.gam import op5_quality_gam
 from ledgerloom.llm.hilbert import op1_hilbert_shards
@@ -23,7 +24,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_mix_sources": op10_mix_sources,
+    "op11_decontaminate": op11_decontaminate,
 }
 
 #: The others can't be said in SQL: XXH64, sampling, fitted models, a tokenizer.
-ORACLE_SQL: dict[str, str] = {"op1_hilbert_shards": oracles.hilbert_shards(), "op3_secret_scan": oracles.secret_scan()}
+ORACLE_SQL: dict[str, str] = {"op1_hilbert_shards": oracles.hilbert_shards(), "op3_secret_scan": oracles.secret_scan(), "op11_decontaminate": oracles.decontaminate_docs()}
