@@ -4,6 +4,7 @@ from ledgerloom.llm import oracles
 from ledgerloom.llm.decontaminate import op11_decontaminate
 from ledgerloom.llm.fracsketch import op7_fracsketch
 from ledgerloom.llm.gam import op5_quality_gam
+from ledgerloom.llm.hardneg import op12_hard_negatives
 from ledgerloom.llm.hilbert import op1_hilbert_shards
 from ledgerloom.llm.mixing import op10_mix_sources
 from ledgerloom.llm.ordinal import op6_toxicity_ordinal
@@ -25,7 +26,13 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_mix_sources": op10_mix_sources,
     "op11_decontaminate": op11_decontaminate,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 #: The others can't be said in SQL: XXH64, sampling, fitted models, a tokenizer.
-ORACLE_SQL: dict[str, str] = {"op1_hilbert_shards": oracles.hilbert_shards(), "op3_secret_scan": oracles.secret_scan(), "op11_decontaminate": oracles.decontaminate_docs()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_hilbert_shards": oracles.hilbert_shards(),
+    "op3_secret_scan": oracles.secret_scan(),
+    "op11_decontaminate": oracles.decontaminate_docs(),
+    "op12_hard_negatives": oracles.hard_negatives(),
+}
