@@ -13,6 +13,7 @@ from ledgerloom.llm.pitmanyor import op4_pitman_yor
 from ledgerloom.llm.rules import op9_quality_rules
 from ledgerloom.llm.secrets import op3_secret_scan
 from ledgerloom.llm.simhash import op2_simhash_dedup
+from ledgerloom.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
@@ -27,6 +28,7 @@ QUERIES = {
     "op10_mix_sources": op10_mix_sources,
     "op11_decontaminate": op11_decontaminate,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_whitening": op13_whitening,
 }
 
 #: The others can't be said in SQL: XXH64, sampling, fitted models, a tokenizer.
