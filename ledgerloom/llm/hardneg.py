@@ -60,9 +60,10 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors (zeros stay) and norms; scaled first, so that nothing overflows."""
     x = x.astype(np.float64)
-    top = np.maximum(np.abs(x).max(axis=1, initial=0.0), 1e-300)
-    length = np.sqrt(((x / top[:, None]) ** 2).sum(axis=1))
-    return x / (top * np.maximum(length, 1e-300))[:, None], top * length
+    top = np.abs(x).max(axis=1, initial=0.0)
+    scaled = x / np.where(top > 0, top, 1.0)[:, None]
+    length = np.sqrt((scaled**2).sum(axis=1))
+    return scaled / np.where(top > 0, length, 1.0)[:, None], top * length
 
 
 def references(x: np.ndarray, n: int = REFERENCES) -> np.ndarray:
