@@ -20,6 +20,12 @@ def corpus():
         rows.append((i, " ".join(words), "en" if i % 4 else None, f"s{i % 3}"))
         if i % 10:
             labels.append((i, int(i % 3 > 0), int(i % 5 == 0)))
+    # Near copies on both sides of a similarity of 0.8.
+    for i in range(40):
+        words = rows[3 * i + 1][1].split()
+        for _ in range(i % 4):
+            words[rng.randrange(len(words))] = "changed"
+        rows.append((500 + i, " ".join(words), "en", "s2"))
     rows += [(900, None, "en", "s0"), (901, "", "de", "s1"), (902, " \n ", None, None), (7, rows[7][1], "en", "s1")]
     return rows, labels
 

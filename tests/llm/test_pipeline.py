@@ -5,7 +5,7 @@ from collections import Counter
 import pyarrow.parquet as pq
 
 import corpus_pipeline
-from ledgerloom.llm import packing, simhash
+from ledgerloom.llm import packing
 from ledgerloom.llm.shared import materialize, tokenizer_path
 
 
@@ -22,14 +22,18 @@ def test_stages(spark, small):
     known = [r for r in raw if r.doc_id in quality]
     kept = {r.doc_id for r in good}
     assert sum((r.doc_id in kept) == bool(quality[r.doc_id]) for r in known) >= 0.97 * len(known)
-    # One document of each group of fingerprints within two bits stays: the smallest.
-    fps = {r.doc_id: simhash.fingerprint((r.text or "").encode()) for r in good}
-    group = {i: i for i in fps}
-    for _ in fps:
-        new = {i: min(group[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 2) for i in fps}
-        if new == group:
-            break
-        group = new
+    # One document of each group at a Jaccard similarity of 0.8 stays: the smallest.
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets = {r.doc_id: shingles(r.text) for r in good}
+    group = {i: i for i in sets}
+    near = [(i, j) for i in sets for j in sets if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    assert len(near) >= 20
+    for _ in range(20):
+        for i, j in near:
+            group[i] = group[j] = min(group[i], group[j])
     assert sorted(r.doc_id for r in single) == sorted(set(group.values()))
     assert [r.doc_id for r in sorted(clean)] == [r.doc_id for r in sorted(single)]
     assert all(r.n_chars == len(r.text) for r in clean if r.text is not None)
