@@ -72,6 +72,16 @@ def best_match(text: Column, candidates: Sequence[tuple[str, str]], scorer: Scor
     return run(text)
 
 
+def best_score(text: Column, names: Column, scorer: Scorer = similarity) -> Column:
+    """The highest score of a text with the names (normalized, an array) that stand beside it; 0 without any."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([max((scorer(t, n) for n in each), default=0.0) for t, each in zip(x.fillna(""), lists, strict=True)], dtype="float64")
+
+    return run(text, names)
+
+
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     """A built-in relative of ``similarity``: one less the edit distance over the longer length."""
     longest = F.greatest(F.length(a), F.length(b))

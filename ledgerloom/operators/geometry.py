@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import constants as K
 from ledgerloom.functions import scalars as S
-from ledgerloom.functions.similarity import best_match, label_similarity
-from ledgerloom.operators.mapping import normalized
-from ledgerloom.sources.store import settle
+from ledgerloom.functions.similarity import best_score, label_similarity
+from ledgerloom.sources.store import settle, small
 
 PAGE = ("doc_id", "page")
 BOXES = "doc_id string, page int, box_id int, text string, x0 double, y0 double, x1 double, y1 double, confidence double, page_width double"
@@ -171,23 +170,30 @@ def boxes_to_cells(boxes: DataFrame) -> DataFrame:
 # Known layouts
 
 
-def _may_be_label(text: Column, labels: Sequence[str]) -> Column:
-    """False for texts that surely resemble no label: numbers, and texts too long for matching blocks that share no word with one and contain none."""
-    if not labels:
-        return F.lit(False)
-    letters = F.lit(any(c.isdigit() for n in labels for c in n)) | text.rlike(r"\p{L}")
-    words = F.array(*[F.lit(w) for w in sorted({w for n in labels for w in n.split()})])
+def label_hits(boxes: DataFrame, layouts: DataFrame) -> DataFrame:
+    """(supplier, text) of the texts of ``boxes`` (supplier, text) that resemble a label of their own supplier's layout.
+
+    ``layouts`` has (supplier, label). Texts that surely resemble none stay out of Python: numbers, and texts too long for
+    matching blocks that share no word with a label and contain none.
+    """
+    names = layouts.select("supplier", S.normalize_header("label").alias("name")).where("name <> ''").groupBy("supplier").agg(F.collect_set("name").alias("names"))
+    words = F.array_distinct(F.flatten(F.transform("names", lambda n: F.split(n, " "))))
+    names = names.select("supplier", "names", words.alias("words"), F.exists("names", lambda n: n.rlike(r"\p{Nd}")).alias("digits"), F.array_max(F.transform("names", F.length)).alias("longest"))
+    texts = boxes.select("supplier", "text").distinct().withColumn("plain", S.normalize_header("text")).join(names, "supplier")
+    plain = F.col("plain")
     # Blocks that match cover at most the shorter text, so a text over three times as long scores below a half.
-    blocks = F.length(text) * K.TEMPLATE_LABEL_MATCH <= max(map(len, labels)) * (2 - K.TEMPLATE_LABEL_MATCH)
-    return letters & (blocks | F.arrays_overlap(F.split(text, " "), words) | S.any_of([F.contains(text, F.lit(n)) for n in labels]))
+    blocks = F.length(plain) * K.TEMPLATE_LABEL_MATCH <= F.col("longest") * (2 - K.TEMPLATE_LABEL_MATCH)
+    may = (F.col("digits") | plain.rlike(r"\p{L}")) & (blocks | F.arrays_overlap(F.split(plain, " "), "words") | F.exists("names", lambda n: F.contains(plain, n)))
+    return texts.where(may).withColumn("score", best_score(plain, F.col("names"), label_similarity)).where(F.col("score") >= K.TEMPLATE_LABEL_MATCH).select("supplier", "text")
 
 
-def header_boxes(boxes: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """The boxes of each page's header: all in the height band that holds the most boxes resembling ``labels``."""
-    known = [(n, normalized(n)) for n in labels if normalized(n)]
-    texts = boxes.select("text").distinct().withColumn("plain", S.normalize_header("text")).where(_may_be_label(F.col("plain"), [n for _, n in known]))
-    texts = texts.withColumn("best", best_match(F.col("plain"), known, label_similarity)).drop("plain")
-    hits = boxes.join(texts.where(F.col("best.score") >= K.TEMPLATE_LABEL_MATCH), "text").drop("best")
+def header_boxes(boxes: DataFrame, layouts: DataFrame) -> DataFrame:
+    """The boxes of each page's header: all in the height band that holds the most boxes resembling a label of the supplier.
+
+    ``boxes`` has supplier, the document's own or null; pages without one have no header.
+    """
+    # "Date" stands on nearly every page: the few texts that are labels go to the boxes, not the boxes to them.
+    hits = boxes.join(small(settle(label_hits(boxes, layouts), "labels")), ["supplier", "text"])
     middle = hits.groupBy(*PAGE).agg((F.median(F.col("y1") - F.col("y0")) * 0.5).alias("half"))
     grouped = islands(hits.join(middle, list(PAGE)), PAGE, _cy(), F.greatest(F.lit(1.0), F.col("half")), ["box_id"], "group")
     size = grouped.groupBy(*PAGE, "group").agg(F.count(F.lit(1)).alias("n"), F.min(_cy()).alias("lo"), F.max(_cy()).alias("hi"), F.max("half").alias("half"))
@@ -267,8 +273,17 @@ def snap_rows(pieces: DataFrame, heights: DataFrame) -> DataFrame:
     return pieces.join(heights, list(PAGE)).groupBy(*PAGE).applyInPandas(place, f"doc_id {kind['doc_id']}, page {kind['page']}, line int, band int, cell string")
 
 
-def template_cells(boxes: DataFrame, labels: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(cells, unplaced pieces) of pages whose header resembles ``labels``; row 0 is the header. Other pages give no cells."""
+def template_cells(boxes: DataFrame, labels: Sequence[str] | DataFrame, suppliers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cells, unplaced pieces) of pages whose header resembles their layout's labels; row 0 is the header. Other pages give no cells.
+
+    ``labels`` is one layout for all pages, or a table (supplier, label) of any number of layouts, and ``suppliers``
+    (doc_id, supplier) tells whose each document is; documents that it doesn't name give no cells.
+    """
+    if suppliers is None:
+        boxes = boxes.withColumn("supplier", F.lit(""))
+        labels = boxes.sparkSession.createDataFrame([("", n) for n in labels], "supplier string, label string")
+    else:
+        boxes = boxes.join(suppliers.select("doc_id", "supplier"), "doc_id")
     boxes = settle(with_page_width(boxes), "boxes")
     header = settle(header_boxes(boxes, labels), "header")
     bounds = settle(column_bounds(header).withColumn("m", F.count(F.lit(1)).over(W.partitionBy(*PAGE))).where("m >= 2").drop("m"), "bounds")

@@ -14,6 +14,7 @@ from ledgerloom.functions import constants as K
 from ledgerloom.functions import scalars as S
 from ledgerloom.functions.similarity import Scorer, best_match, similarity
 from ledgerloom.sources.rules import Rules
+from ledgerloom.sources.store import settle, small
 
 _ARABIC = re.compile(K.ARABIC)
 
@@ -44,9 +45,9 @@ def map_columns(headers: DataFrame, keys: tuple[str, ...] = ("doc_id", "table_id
     found = found.withColumn("currency", F.when(F.col("currency").isin(*columns), F.col("currency")))
     first = F.row_number().over(W.partitionBy(*keys, "currency").orderBy("col_idx"))
     found = found.withColumn("by_currency", F.when(F.col("currency").isNotNull() & (first == 1) & (F.col("header") != ""), F.col("currency")))
-    # Scores are worked out once for each distinct header.
-    distinct = found.select("header").distinct().withColumn("best", best_match(S.normalize_header("header"), alias_pairs(columns), scorer))
-    found = found.join(distinct, "header", "left")
+    # Scores are worked out once for each distinct header. "Date" stands in nearly every table: the scores go to the tables, not the tables to them.
+    distinct = settle(found.select("header").distinct().withColumn("best", best_match(S.normalize_header("header"), alias_pairs(columns), scorer)), "scores")
+    found = found.join(small(distinct), "header", "left")
     taken = F.collect_set("by_currency").over(W.partitionBy(*keys))
     open_for = F.col("by_currency").isNull() & (F.col("best.score") >= threshold) & ~F.array_contains("taken", F.col("best.name"))
     found = found.withColumn("taken", taken).withColumn("wanted", F.when(open_for, F.col("best.name")))
@@ -129,5 +130,7 @@ def supplier_label(key: Column) -> Column:
 
 
 def choose_engine(engine: Column, scanned: Column) -> Column:
-    """ocr or text: what is asked for, or for ``auto`` what the document needs; anything else is an error."""
-    return F.when(engine == "auto", F.when(scanned, "ocr").otherwise("text")).when(engine.isin("ocr", "text"), engine).otherwise(F.raise_error(F.concat(F.lit("unknown engine: "), engine)))
+    """struct<value, error>: ocr or text, as asked for or, for ``auto``, as the document needs; anything else has an error instead of a value."""
+    asked = F.coalesce(engine, F.lit("auto"))
+    value = F.when(asked == "auto", F.when(scanned, "ocr").otherwise("text")).when(asked.isin("ocr", "text"), asked)
+    return F.struct(value.alias("value"), F.when(value.isNull(), F.concat(F.lit("unknown engine: "), asked)).alias("error"))

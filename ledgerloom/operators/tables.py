@@ -59,12 +59,20 @@ def dedupe_headers(headers: DataFrame, keys: tuple[str, ...] = TABLE) -> DataFra
     return joined.select(*headers.columns)
 
 
-def to_frames(cells: DataFrame, fix_arabic: bool = True) -> tuple[DataFrame, DataFrame]:
+def in_reading_order(cell: str, fix_arabic: bool | str) -> Column:
+    """A cell with Arabic put in reading order if ``fix_arabic``; as a name, where that column is true. Null becomes empty."""
+    plain = F.coalesce(F.col(cell), F.lit(""))
+    if isinstance(fix_arabic, str):
+        return F.when(F.col(fix_arabic), S.fix_arabic(cell)).otherwise(plain)
+    return S.fix_arabic(cell) if fix_arabic else plain
+
+
+def to_frames(cells: DataFrame, fix_arabic: bool | str = True) -> tuple[DataFrame, DataFrame]:
     """(headers(doc_id, table_id, col_idx, header), body cells) of clean ``cells``.
 
     A sparser row below the header that fills one of its gaps, and holds no digits, is a second header row.
     """
-    fix = S.fix_arabic if fix_arabic else (lambda c: F.coalesce(F.col(c), F.lit("")))
+    fix = lambda c: in_reading_order(c, fix_arabic)
     placed = cells.join(header_rows(cells), list(TABLE))
     pair = placed.where("row_idx in (header_idx, header_idx + 1)").groupBy(*TABLE, "col_idx").agg(F.coalesce(F.max(F.when(F.col("row_idx") == F.col("header_idx"), fix("cell"))), F.lit("")).alias("top"), F.coalesce(F.max(F.when(F.col("row_idx") > F.col("header_idx"), fix("cell"))), F.lit("")).alias("below"))
     whole = W.partitionBy(*TABLE)
@@ -142,9 +150,8 @@ def split_metadata(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, pairs.select("doc_id", "label", F.col("money.num").alias("value_num"), F.col("money.txt").alias("value_text"))
 
 
-def clean_values(body: DataFrame, headers: DataFrame, fix_arabic: bool = True) -> DataFrame:
+def clean_values(body: DataFrame, headers: DataFrame, fix_arabic: bool | str = True) -> DataFrame:
     """``body`` with Arabic put in reading order and the cells of money columns parsed (as text again)."""
     named = body.join(headers, [*TABLE, "col_idx"])
-    fixed = S.fix_arabic("cell") if fix_arabic else F.coalesce("cell", F.lit(""))
-    named = named.withColumn("cell", fixed)
+    named = named.withColumn("cell", in_reading_order("cell", fix_arabic))
     return named.withColumn("cell", F.when(S.is_money_header("header"), S.money_text("cell")).otherwise(F.col("cell")))

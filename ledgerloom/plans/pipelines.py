@@ -24,10 +24,10 @@ class Extracted:
     summary: DataFrame
 
 
-def extract(cells: DataFrame, fix_arabic: bool = True, arabic_labels: bool = False, min_filled: int | None = None, strict: bool = True) -> Extracted:
+def extract(cells: DataFrame, fix_arabic: bool | str = True, arabic_labels: bool = False, min_filled: int | None = None, strict: bool = True) -> Extracted:
     """Separates metadata strips and summary blocks from the transaction tables and cleans the values of the rest.
 
-    ``strict`` False also takes a table of one data row and a total for a summary block, and so loses its row.
+    ``fix_arabic`` may name a column of ``cells`` that tells it for each. ``strict`` False also takes a table of one data row and a total for a summary block, and so loses its row.
     """
     cells = settle(tables.clean_cells(cells), "cells")
     kept, strips = tables.split_metadata(cells)
@@ -68,15 +68,22 @@ def transactions(cells: DataFrame, texts: DataFrame, rules: Rules, year_now: int
     return both, found.summary
 
 
-def boxes_to_transactions(boxes: DataFrame, year_now: int, labels: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(transactions, summary) of recognised pages; pages whose header resembles ``labels`` are cut by its columns, others by their own layout."""
-    if labels:
-        cells, _ = geometry.template_cells(boxes, labels)
-        other = boxes.join(cells.select("doc_id", F.col("table_id").alias("page")).distinct(), ["doc_id", "page"], "left_anti")
-        cells = cells.unionByName(geometry.boxes_to_cells(other))
-    else:
-        cells = geometry.boxes_to_cells(boxes)
-    found = extract(cells, fix_arabic=False)
+def recognised_cells(boxes: DataFrame, labels: Sequence[str] | DataFrame | None = None, suppliers: DataFrame | None = None) -> DataFrame:
+    """Grids of recognised pages: pages whose header resembles their layout are cut by its columns, others by their own.
+
+    ``labels`` and ``suppliers`` as in ``geometry.template_cells``.
+    """
+    if labels is None:
+        return geometry.boxes_to_cells(boxes)
+    cells, _ = geometry.template_cells(boxes, labels, suppliers)
+    cells = settle(cells, "template")
+    other = boxes.join(cells.select("doc_id", F.col("table_id").alias("page")).distinct(), ["doc_id", "page"], "left_anti")
+    return cells.unionByName(geometry.boxes_to_cells(other))
+
+
+def boxes_to_transactions(boxes: DataFrame, year_now: int, labels: Sequence[str] | DataFrame | None = None, suppliers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(transactions, summary) of recognised pages, known layouts (``recognised_cells``) and unknown ones in one batch."""
+    found = extract(recognised_cells(boxes, labels, suppliers), fix_arabic=False)
     return format_dynamic(found, year_now), found.summary
 
 

@@ -154,7 +154,7 @@ def engine_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was asked for, or for auto what the text needs: every second page has too little of it."""
     asked = F.when(F.col("page_id") % 3 == 0, "ocr").when(F.col("page_id") % 3 == 1, "text").otherwise("auto")
     text = F.when(F.col("page_id") % 2 == 0, "short").otherwise(F.repeat(F.lit("words "), F.lit(20)))
-    return _t(spark, sf_dir, "pages").select("page_id", mapping.choose_engine(asked, S.needs_ocr(text, F.lit(1))).alias("engine"))
+    return _t(spark, sf_dir, "pages").select("page_id", mapping.choose_engine(asked, S.needs_ocr(text, F.lit(1)))["value"].alias("engine"))
 
 
 # Around them

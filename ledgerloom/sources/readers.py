@@ -29,7 +29,7 @@ def name_below(file: Column, root: str) -> Column:
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, path, length, content) of the documents below ``path``; other file types are left out before their bytes are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{pdf,PDF,jpg,JPG,jpeg,JPEG,png,PNG}").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[pP][dD][fF],[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG]}").load(path)
     return files.select(name_below(F.col("path"), path).alias("doc_id"), "path", "length", "content")
 
 
@@ -85,6 +85,19 @@ def decode_payloads(payloads: DataFrame) -> DataFrame:
     return both.selectExpr("doc_id", "page", "box_id", "text", "b.x0", "b.y0", "b.x1", "b.y1", "confidence", "double(null) as page_width")
 
 
+def payload_errors(payloads: DataFrame) -> DataFrame:
+    """(doc_id, page, error) of recognizer answers (doc_id, page, payload) that can't be read: not JSON, or of neither known shape.
+
+    An empty list of lines is an answer, that of a blank page.
+    """
+    said = F.trim(F.coalesce("payload", F.lit("")))
+    body = S.named(said, lambda t: F.struct(t.alias("t"), F.get_json_object(t, "$").isNotNull().alias("json")))
+    listed = lambda t: F.from_json(t, "array<array<string>>")
+    right = lambda t: F.when(t.startswith("["), listed(t).isNotNull() & F.forall(listed(t), lambda i: i.isNotNull() & (F.size(i) == 2) & i[1].startswith("["))).otherwise(F.from_json(t, "rec_texts array<string>")["rec_texts"].isNotNull())
+    error = F.when(~F.col("b.json"), "payload is not JSON").when(~F.coalesce(right(F.col("b.t")), F.lit(False)), "payload has no lines")
+    return payloads.select("doc_id", "page", body.alias("b")).select("doc_id", "page", error.alias("error")).where("error is not null")
+
+
 def recognize(files: DataFrame, engine: Callable[[bytes], Sequence[tuple[str, tuple[float, float, float, float]]]]) -> DataFrame:
     """Boxes of each file's image by ``engine`` (bytes to texts and boxes), called once a row in Arrow batches on the executors."""
 

@@ -43,12 +43,13 @@ def load_rules(path: str | Path) -> Rules:
 
 
 def rule_tables(spark: SparkSession, rules: Rules) -> dict[str, DataFrame]:
-    """identifiers, columns and notes as small tables that keep the file's order."""
+    """identifiers, columns, notes and header labels as small tables that keep the file's order."""
     ident = [(k, i, m) for i, (k, p) in enumerate(rules.suppliers.items()) for m in p.identifiers]
     columns = [(k, i, h, c) for k, p in rules.suppliers.items() for i, (h, c) in enumerate(p.columns.items())]
     notes = [(k, i, h, n) for k, p in rules.suppliers.items() for i, (h, n) in enumerate(p.notes.items())]
     return {
         "supplier_identifiers": spark.createDataFrame(ident, "supplier string, decl_order int, identifier string"),
         "supplier_columns": spark.createDataFrame(columns, "supplier string, key_order int, source_header string, standard_column string"),
+        "supplier_labels": spark.createDataFrame([(k, n) for k, p in rules.suppliers.items() for n in p.header_names], "supplier string, label string"),
         "supplier_notes": spark.createDataFrame(notes, "supplier string, key_order int, source_header string, label string"),
     }

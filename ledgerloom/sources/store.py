@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,3 +46,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{_home(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df``, to be broadcast if it was counted and has at most ``rows`` rows; a larger one is joined by shuffling."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

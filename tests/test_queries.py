@@ -6,8 +6,8 @@ import os
 
 import pytest
 
+from ledgerloom.plans import batches, routes  # noqa: F401  register their queries
 from ledgerloom.plans import queries as Q
-from ledgerloom.plans import routes  # noqa: F401  registers its queries
 
 SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")

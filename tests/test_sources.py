@@ -6,7 +6,6 @@ import glob
 import shutil
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.constants import REPLY_COLUMNS
@@ -62,8 +61,9 @@ def test_recognizer_of_several_boxes(spark):
 
 
 def test_unknown_engine_is_an_error(spark):
-    with pytest.raises(PySparkException, match="unknown engine"):
-        spark.range(1).select(mapping.choose_engine(F.lit("magic"), F.lit(True))).collect()
+    asked = spark.createDataFrame([("magic",), ("auto",), ("text",), (None,)], "engine string")
+    got = asked.select(mapping.choose_engine(F.col("engine"), F.lit(True)).alias("e")).select("e.*").collect()
+    assert [tuple(r) for r in got] == [(None, "unknown engine: magic"), ("ocr", None), ("text", None), ("ocr", None)]
 
 
 def test_rules_file(spark, tmp_path):
