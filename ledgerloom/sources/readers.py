@@ -62,7 +62,7 @@ _POINTS = "array<array<double>>"
 
 def bounding_box(points: Column) -> Column:
     """struct<x0, y0, x1, y1> around a polygon's points; zeros where there are none."""
-    axis = lambda i: F.transform(points, lambda p: p[i])
+    axis = lambda i: F.transform(points, lambda p: F.get(p, F.lit(i)))
     edge = lambda f, i: F.coalesce(f(axis(i)), F.lit(0.0))
     return F.struct(edge(F.array_min, 0).alias("x0"), edge(F.array_min, 1).alias("y0"), edge(F.array_max, 0).alias("x1"), edge(F.array_max, 1).alias("y1"))
 
@@ -75,8 +75,8 @@ def decode_payloads(payloads: DataFrame) -> DataFrame:
     """
     pairs = F.from_json("payload", "array<array<string>>")
     listed = payloads.where(F.trim("payload").startswith("[")).select("doc_id", "page", F.posexplode(pairs).alias("box_id", "item"))
-    said = F.from_json(F.col("item")[1], "array<string>")
-    listed = listed.select("doc_id", "page", "box_id", said[0].alias("text"), F.coalesce(said[1].try_cast("double"), F.lit(1.0)).alias("confidence"), bounding_box(F.from_json(F.col("item")[0], _POINTS)).alias("b"))
+    said = F.from_json(F.get("item", F.lit(1)), "array<string>")
+    listed = listed.select("doc_id", "page", "box_id", F.get(said, F.lit(0)).alias("text"), F.coalesce(F.get(said, F.lit(1)).try_cast("double"), F.lit(1.0)).alias("confidence"), bounding_box(F.from_json(F.get("item", F.lit(0)), _POINTS)).alias("b"))
     shape = F.from_json("payload", f"rec_texts array<string>, rec_scores array<double>, dt_polys array<{_POINTS}>")
     named = payloads.where(F.trim("payload").startswith("{")).select("doc_id", "page", shape.alias("r"))
     named = named.select("doc_id", "page", "r", F.posexplode("r.rec_texts").alias("box_id", "text"))
