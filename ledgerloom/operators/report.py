@@ -31,6 +31,17 @@ def with_subtotal(df: DataFrame, label: str = "TOTAL", money: Iterable[str] = K.
     return df.withColumn("is_total", F.lit(False)).unionByName(total.withColumn("is_total", F.lit(True)))
 
 
+def with_subtotals(df: DataFrame, by: str, order: str, label: str = "TOTAL", money: Iterable[str] = K.MONEY_COLUMNS) -> DataFrame:
+    """``df`` and, for each value of ``by``, one row with the sums of the money columns under ``label``; is_total tells it apart, its ``order`` is the last one's."""
+    kinds = dict(df.dtypes)
+    quoted = lambda c: F.col(f"`{c}`")
+    texts = [c for c in df.columns if c not in (by, order)]
+    place, summed = label_column(texts, kinds), {c for c in money if c in texts}
+    cells = [F.sum(quoted(c)).alias(c) if c in summed else F.first(F.lit(label if c == place else None).cast(kinds[c])).alias(c) for c in texts]
+    total = df.groupBy(quoted(by)).agg(F.max(quoted(order)).alias(order), *cells)
+    return df.withColumn("is_total", F.lit(False)).unionByName(total.withColumn("is_total", F.lit(True)))
+
+
 def subtotals(df: DataFrame, by: Sequence[str], money: Sequence[str]) -> DataFrame:
     """Sums by group and over all groups; the latter's keys are null."""
     return df.rollup(*by).agg(*[F.sum(c).alias(f"sum_{c}") for c in money])

@@ -10,8 +10,9 @@ from ledgerloom.operators import matching
 from ledgerloom.plans import batch, pipelines
 from ledgerloom.plans.queries import _cells, _page, _t, query
 from ledgerloom.plans.routes import _values
-from ledgerloom.sources import readers
+from ledgerloom.sources import files, readers
 from ledgerloom.sources.rules import Rules, rule_tables
+from ledgerloom.sources.store import new_folder
 
 _LEFT = (10, 200, 450, 700)
 _USUAL = ("Date", "Hotel", "Adult", "Total")
@@ -132,3 +133,21 @@ def detect_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = part.select(owner, F.concat(F.lit("Desk "), "p_partkey").alias("identifier")).unionByName(part.where("p_partkey < 60").select(owner, F.concat(F.lit("COPY "), F.col("p_partkey") % 7).alias("identifier")))
     texts = customer.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("From DESK "), "c_custkey", F.lit(", Copy "), F.col("c_custkey") % 11, F.lit(" to desk "), F.col("c_custkey") * 7 % 500).alias("text"))
     return matching.detect_suppliers(texts, marks.withColumn("supplier", F.concat(F.lit("s"), "decl_order")))
+
+
+# Files
+
+
+@query("""WITH r AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, 'Hotel, "' || o_orderkey || '"' AS hotel, o_orderkey % 100 AS egp, o_orderkey % 7 AS usd FROM orders)
+SELECT o_custkey || '.csv' AS file, CAST(n AS BIGINT) AS line, hotel AS "Hotel", CAST(egp AS DOUBLE) AS "EGP", CAST(usd AS DOUBLE) AS "USD", CAST(egp + usd * 50 AS DOUBLE) AS "EGP Converter" FROM r
+UNION ALL SELECT o_custkey || '.csv', count(*) + 1, 'TOTAL', CAST(sum(egp) AS DOUBLE), CAST(sum(usd) AS DOUBLE), CAST(sum(egp + usd * 50) AS DOUBLE) FROM r GROUP BY o_custkey""")
+def exported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each customer, written by parallel tasks and read back: rows in order, EGP amounts, the subtotal last."""
+    orders = _numbered(spark, sf_dir)
+    hotel = F.concat(F.lit('Hotel, "'), "o_orderkey", F.lit('"'))
+    rows = orders.select(F.col("o_custkey").alias("doc_id"), F.col("nth").alias("row_idx"), hotel.alias("Hotel"), (F.col("o_orderkey") % 100).cast("double").alias("EGP"), (F.col("o_orderkey") % 7).cast("double").alias("USD"), F.lit(0.0).alias("Euros"), F.lit(0.0).alias("GBP"))
+    folder = new_folder(spark, "exported")
+    files.export_files(rows, folder, rates={"USD": 50.0, "Euros": 55.0, "GBP": 65.0})
+    read = files.page_files(spark, folder, ".csv").select("doc_id", F.posexplode(F.split("content", "\n")).alias("line", "text")).where("line > 0 and text <> ''")
+    cells = F.from_csv("text", "Hotel string, EGP double, USD double, Euros double, GBP double, c double", {"escape": '"'})
+    return read.select(F.col("doc_id").alias("file"), F.col("line").cast("bigint").alias("line"), cells.alias("c")).select("file", "line", "c.Hotel", "c.EGP", "c.USD", F.col("c.c").alias("EGP Converter"))

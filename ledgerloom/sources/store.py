@@ -37,13 +37,18 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own among this application's tables."""
+    return f"{_home(spark)}/{uuid.uuid4().hex}/{name}"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     What a step reads several times is worked out once, the plan starts anew there, and a lost executor takes nothing
     with it.
     """
-    path = f"{_home(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
