@@ -214,7 +214,7 @@ class PageFilesReader(DataSourceReader):
                     size = 0
                 files[-1].append((info.path, doc_id, page, info.size))
                 size += info.size
-        return [Files(f) for f in files if f]
+        return [Files(f) for f in files]
 
     def read(self, partition: Files) -> Iterator[tuple]:
         fs, _ = _store(self.path)
