@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import constants as K
 from ledgerloom.functions import scalars as S
-from ledgerloom.functions.similarity import best_score, label_similarity
+from ledgerloom.functions.similarity import best_of, label_similarity
 from ledgerloom.sources.store import settle, small
 
 PAGE = ("doc_id", "page")
@@ -171,7 +171,7 @@ def boxes_to_cells(boxes: DataFrame) -> DataFrame:
 
 
 def label_hits(boxes: DataFrame, layouts: DataFrame) -> DataFrame:
-    """(supplier, text) of the texts of ``boxes`` (supplier, text) that resemble a label of their own supplier's layout.
+    """(supplier, text, label) of the texts of ``boxes`` (supplier, text) that resemble a label of their own supplier's layout.
 
     ``layouts`` has (supplier, label). Texts that surely resemble none stay out of Python: numbers, and texts too long for
     matching blocks that share no word with a label and contain none.
@@ -184,7 +184,8 @@ def label_hits(boxes: DataFrame, layouts: DataFrame) -> DataFrame:
     # Blocks that match cover at most the shorter text, so a text over three times as long scores below a half.
     blocks = F.length(plain) * K.TEMPLATE_LABEL_MATCH <= F.col("longest") * (2 - K.TEMPLATE_LABEL_MATCH)
     may = (F.col("digits") | plain.rlike(r"\p{L}")) & (blocks | F.arrays_overlap(F.split(plain, " "), "words") | F.exists("names", lambda n: F.contains(plain, n)))
-    return texts.where(may).withColumn("score", best_score(plain, F.col("names"), label_similarity)).where(F.col("score") >= K.TEMPLATE_LABEL_MATCH).select("supplier", "text")
+    best = texts.where(may).withColumn("best", best_of(plain, F.array_sort("names"), label_similarity))
+    return best.where(F.col("best.score") >= K.TEMPLATE_LABEL_MATCH).select("supplier", "text", F.col("best.name").alias("label"))
 
 
 def header_boxes(boxes: DataFrame, layouts: DataFrame) -> DataFrame:
@@ -193,7 +194,7 @@ def header_boxes(boxes: DataFrame, layouts: DataFrame) -> DataFrame:
     ``boxes`` has supplier, the document's own or null; pages without one have no header.
     """
     # "Date" stands on nearly every page: the few texts that are labels go to the boxes, not the boxes to them.
-    hits = boxes.join(small(settle(label_hits(boxes, layouts), "labels")), ["supplier", "text"])
+    hits = boxes.join(small(settle(label_hits(boxes, layouts).drop("label"), "labels")), ["supplier", "text"])
     middle = hits.groupBy(*PAGE).agg((F.median(F.col("y1") - F.col("y0")) * 0.5).alias("half"))
     grouped = islands(hits.join(middle, list(PAGE)), PAGE, _cy(), F.greatest(F.lit(1.0), F.col("half")), ["box_id"], "group")
     size = grouped.groupBy(*PAGE, "group").agg(F.count(F.lit(1)).alias("n"), F.min(_cy()).alias("lo"), F.max(_cy()).alias("hi"), F.max("half").alias("half"))
@@ -306,3 +307,52 @@ def rotate(boxes: DataFrame, page_height: Column, clockwise: bool = True) -> Dat
     else:
         new = {"x0": F.col("y0"), "x1": F.col("y1"), "y0": w - F.col("x1"), "y1": w - F.col("x0")}
     return boxes.select(*[c for c in boxes.columns if c not in (*new, "page_width")], *[v.alias(k) for k, v in new.items()], page_height.alias("page_width"))
+
+
+#: How a page may lie; the first is the page as it is.
+TURNS = ("none", "clockwise", "counterclockwise")
+
+
+def orientations(boxes: DataFrame, page_height: Column, layouts: DataFrame) -> DataFrame:
+    """(doc_id, page, turn, hits, below, regular): for each of ``TURNS``, how much the page would look like a table.
+
+    hits: the most labels that boxes of one row resemble, of ``layouts`` (supplier, label; of the document's own supplier
+    where ``boxes`` has that column, else of any). below: the share of boxes under that row less that above it. regular:
+    the share of boxes that are wider than tall and share a row with another.
+    """
+    boxes = with_page_width(boxes)
+    if "supplier" not in boxes.columns:
+        boxes, layouts = boxes.withColumn("supplier", F.lit("")), layouts.select(F.lit("").alias("supplier"), "label")
+    # A turn counts as a page of its own, so that all are looked at in one plan.
+    turned = [boxes, rotate(boxes, page_height), rotate(boxes, page_height, clockwise=False)]
+    columns = boxes.columns
+    every = None
+    for i, one in enumerate(turned):
+        one = one.select(*columns).withColumn("page", F.col("page") * len(TURNS) + i)
+        every = one if every is None else every.unionByName(one)
+    rows = settle(rows_of(every), "turned rows")
+    marked = rows.join(small(settle(label_hits(boxes, layouts), "labels")), ["supplier", "text"], "left")
+    lines = marked.groupBy(*PAGE, "line").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels"), F.count_if(F.col("x1") - F.col("x0") > F.col("y1") - F.col("y0")).alias("wide"))
+    page = W.partitionBy(*PAGE)
+    head = F.max(F.struct("labels", (-F.col("line")).alias("at"))).over(page)
+    lines = lines.withColumn("head", head)
+    at = -F.col("head.at")
+    seen = lines.groupBy(*PAGE).agg(F.max("head.labels").alias("hits"), F.sum(F.when(F.col("line") > at, F.col("n")).when(F.col("line") < at, -F.col("n")).otherwise(0)).alias("below"), F.sum(F.when(F.col("n") > 1, F.col("wide")).otherwise(0)).alias("regular"), F.sum("n").alias("n"))
+    return seen.select("doc_id", F.floor(F.col("page") / len(TURNS)).cast("int").alias("page"), F.element_at(F.array(*map(F.lit, TURNS)), (F.col("page") % len(TURNS) + 1).cast("int")).alias("turn"), "hits", F.when(F.col("hits") > 0, F.col("below") / F.col("n")).otherwise(0.0).alias("below"), (F.col("regular") / F.col("n")).alias("regular"))
+
+
+def upright(boxes: DataFrame, page_height: Column, layouts: DataFrame) -> DataFrame:
+    """``boxes`` with every page turned the way that looks most like a table, and turn; a page that has no single best way stays as it is.
+
+    More labels in a row win, then more boxes below them, then more regular rows.
+    """
+    boxes = settle(with_page_width(boxes).withColumn("__height", page_height.cast("double")), "boxes")
+    score = F.struct("hits", F.round("below", 6).alias("below"), F.round("regular", 6).alias("regular"))
+    scored = orientations(boxes, F.col("__height"), layouts).withColumn("score", score)
+    best = scored.withColumn("top", F.max("score").over(W.partitionBy(*PAGE))).where(F.col("score") == F.col("top")).groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("turn"))
+    chosen = boxes.join(best.select(*PAGE, F.when(F.col("n") == 1, F.col("turn")).otherwise(TURNS[0]).alias("turn")), list(PAGE), "left").withColumn("turn", F.coalesce("turn", F.lit(TURNS[0])))
+    columns = [*[c for c in boxes.columns if c != "__height"], "turn"]
+    out = chosen.where(F.col("turn") == TURNS[0]).select(*columns)
+    for turn in TURNS[1:]:
+        out = out.unionByName(rotate(chosen.where(F.col("turn") == turn), F.col("__height"), turn == TURNS[1]).select(*columns))
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import matching
+from ledgerloom.operators import geometry, matching
 from ledgerloom.plans import batch, pipelines
 from ledgerloom.plans.queries import _cells, _page, _t, query
 from ledgerloom.plans.routes import _values
@@ -151,3 +151,23 @@ def exported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = files.page_files(spark, folder, ".csv").select("doc_id", F.posexplode(F.split("content", "\n")).alias("line", "text")).where("line > 0 and text <> ''")
     cells = F.from_csv("text", "Hotel string, EGP double, USD double, Euros double, GBP double, c double", {"escape": '"'})
     return read.select(F.col("doc_id").alias("file"), F.col("line").cast("bigint").alias("line"), cells.alias("c")).select("file", "line", "c.Hotel", "c.EGP", "c.USD", F.col("c.c").alias("EGP Converter"))
+
+
+# Pages that lie on their side
+
+
+@query(f"""WITH r AS (SELECT o_custkey AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+each AS (SELECT doc_id, n + 2 AS line, col, CASE col WHEN 0 THEN '2024-01-0' || o_orderkey % 9 + 1 WHEN 1 THEN 'Hotel ' || o_orderkey WHEN 2 THEN 'x' || o_orderkey % 9 ELSE CAST(o_orderkey * 3 AS VARCHAR) END AS text FROM r, (SELECT unnest(range(4)) AS col)
+  UNION ALL SELECT DISTINCT doc_id, 2, col, h FROM r, (VALUES {_values(list(enumerate(_USUAL)))}) v(col, h))
+SELECT doc_id, CAST(line * 4 + col AS INT) AS box_id, text, CAST(l AS DOUBLE) AS x0, CAST(line * 30 AS DOUBLE) AS y0, CAST(l + 120 AS DOUBLE) AS x1, CAST(line * 30 + 20 AS DOUBLE) AS y1, CAST(900 AS DOUBLE) AS page_width,
+CASE doc_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'counterclockwise' ELSE 'clockwise' END AS turn FROM each JOIN (VALUES {_values(list(enumerate(_LEFT)))}) w(c, l) ON c = col""")
+def upright_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of which two thirds were turned by a quarter, one way or the other, come back as they were."""
+    orders = _numbered(spark, sf_dir)
+    values = F.array(F.concat(F.lit("2024-01-0"), F.col("o_orderkey") % 9 + 1), F.concat(F.lit("Hotel "), "o_orderkey"), F.concat(F.lit("x"), F.col("o_orderkey") % 9), (F.col("o_orderkey") * 3).cast("string"))
+    lines = orders.where("nth = 1").select("o_custkey", F.lit(2).alias("line"), _texts(*_USUAL).alias("values")).unionByName(orders.select("o_custkey", (F.col("nth") + 2).alias("line"), values.alias("values")))
+    boxes, kind, height = _boxes(lines), F.col("doc_id") % 3, F.lit(3000.0)
+    turned = geometry.rotate(boxes.where(kind == 1), height).unionByName(geometry.rotate(boxes.where(kind == 2), height, clockwise=False)).withColumn("height", F.lit(900.0))
+    pages = boxes.where(kind == 0).withColumn("height", height).unionByName(turned)
+    labels = spark.createDataFrame([("", n) for n in _USUAL], "supplier string, label string")
+    return geometry.upright(pages, F.col("height"), labels).select("doc_id", "box_id", "text", "x0", "y0", "x1", "y1", "page_width", "turn")
