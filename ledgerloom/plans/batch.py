@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
-from ledgerloom.operators import mapping, matching, standardize, tables
-from ledgerloom.plans.pipelines import box_text, extract, recognised_cells
+from ledgerloom.operators import mapping, matching, tables
+from ledgerloom.operators.rows import standardize_rows
+from ledgerloom.plans.pipelines import as_notes, box_text, extract, recognised_cells
 from ledgerloom.sources.rules import Rules, rule_tables
-from ledgerloom.sources.store import settle, small
+from ledgerloom.sources.store import settle
 
 #: The key of documents that no supplier's profile was used for.
 DYNAMIC = "auto_detected"
@@ -76,10 +77,10 @@ def run(docs: DataFrame, cells: DataFrame, boxes: DataFrame, rules: Rules, year_
     profiled = settle(mapping.map_profile(headers.join(chosen.where("supplier is not null").select("doc_id", "supplier"), "doc_id"), rules), "mapped")
     fits = mapping.profile_fits(profiled).join(chosen.select("doc_id", "route", "has_profile"), "doc_id").where("fits or has_profile or route = 'text'").select(*tables.TABLE)
     fits = settle(fits, "fits")
-    by_profile = profiled.join(fits, list(tables.TABLE), "left_semi").select(*tables.TABLE, "col_idx", "standard_column", "note_label")
+    by_profile = profiled.join(fits, list(tables.TABLE), "left_semi").select(*tables.TABLE, "col_idx", "header", "standard_column", "note_label")
     by_header = mapping.map_columns(headers.join(fits, list(tables.TABLE), "left_anti"), columns=rules.standard_columns)
-    by_header = by_header.select(*tables.TABLE, "col_idx", "standard_column", F.when(F.col("standard_column").isNull(), F.col("header")).alias("note_label"))
-    rows = standardize.standardize(out.body, by_profile.unionByName(by_header), year_now, rules.standard_columns)
+    by_header = as_notes(by_header).select(*tables.TABLE, "col_idx", "header", "standard_column", "note_label")
+    rows = standardize_rows(out.rows, by_profile.unionByName(by_header), year_now, rules.standard_columns)
     who = fits.join(chosen.select("doc_id", "supplier"), "doc_id")
     rows = rows.join(who, list(tables.TABLE), "left").withColumn("supplier", F.coalesce("supplier", F.lit(DYNAMIC)))
     rows = settle(rows, "transactions")
