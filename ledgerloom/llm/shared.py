@@ -71,8 +71,8 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Row ranges of ``batch`` holding about ``max_bytes`` of ``column`` each (one row at least), so working memory does not follow the batch size.
+def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 8 << 20, max_rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Row ranges of ``batch`` holding about ``max_bytes`` of ``column`` each (one row at least) and ``max_rows`` at most, so working memory does not follow the batch size.
 
     ``column`` may be a field of a struct, as in "row.text".
     """
@@ -84,7 +84,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 8 << 20
     start = 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
+        stop = min(max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right"))), start + max_rows)
         yield batch.slice(start, stop - start)
         start = stop
 
