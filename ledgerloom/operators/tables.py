@@ -15,6 +15,8 @@ from ledgerloom.functions import scalars as S
 
 TABLE = ("doc_id", "table_id")
 ROW = (*TABLE, "row_idx")
+#: A name's stem and the number behind it, as repeats are numbered.
+NUMBERED = r"(?s)\A(.+)_([1-9][0-9]{0,17})\z"
 
 
 def clean_cells(cells: DataFrame) -> DataFrame:
@@ -40,23 +42,21 @@ def dedupe_headers(headers: DataFrame, keys: tuple[str, ...] = TABLE) -> DataFra
     The n-th repeat of a name gets the number n, or the next that no other column of the table bears.
     """
     filled = headers.withColumn("header", F.when(F.coalesce("header", F.lit("")) == "", F.concat(F.lit("Unnamed_"), "col_idx")).otherwise(F.col("header")))
-    nth = F.row_number().over(W.partitionBy(*keys, "header").orderBy("col_idx")) - 1
-    filled = filled.withColumn("nth", nth).withColumn("repeats", F.max("nth").over(W.partitionBy(*keys)))
-    # Tables without repeats stay as they are; the others' names are settled one after the other, as an array.
-    heads = F.array_sort(F.collect_list(F.struct("col_idx", "header", "nth")))
-    tables = filled.where("repeats > 0").groupBy(*keys).agg(heads.alias("heads"))
-
-    def settled(acc: Column, h: Column) -> Column:
-        taken = lambda k: F.array_contains(acc, F.concat_ws("_", h["header"], k)) | F.exists("heads", lambda o: o["header"] == F.concat_ws("_", h["header"], k))
-        free = lambda k: F.get(F.filter(F.sequence(k, k + F.size("heads")), lambda k: ~taken(k)), 0)
-        number = F.when(taken(h["nth"]), free(h["nth"])).otherwise(h["nth"])
-        return F.concat(acc, F.array(F.when(h["nth"] == 0, h["header"]).otherwise(F.concat_ws("_", h["header"], number))))
-
-    names = F.aggregate("heads", F.array().cast("array<string>"), settled)
-    each = tables.withColumn("names", names).select(*keys, F.explode(F.arrays_zip("heads.col_idx", "names")).alias("h"))
-    each = each.select(*keys, F.col("h.col_idx").alias("col_idx"), F.col("h.names").alias("__name"))
-    joined = filled.join(each, [*keys, "col_idx"], "left").withColumn("header", F.coalesce("__name", "header"))
-    return joined.select(*headers.columns)
+    # Names numbered from different stems never meet, so a stem's repeats get the numbers that no column bears, in order: one
+    # exchange by stem, to which a column brings itself and, if its name is a numbered one, the number it takes from its stem.
+    taken = F.regexp_extract("header", NUMBERED, 2).try_cast("bigint")
+    own = F.struct(F.col("header").alias("stem"), F.lit(None).cast("bigint").alias("taken"))
+    other = F.struct(F.regexp_extract("header", NUMBERED, 1).alias("stem"), taken.alias("taken"))
+    each = filled.select(F.struct(*headers.columns).alias("row"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "col_idx", F.inline(F.when(taken.isNull(), F.array(own)).otherwise(F.array(own, other))))
+    stem = [*[f"k{i}" for i in range(len(keys))], "stem"]
+    by = W.partitionBy(*stem, F.col("taken").isNull()).orderBy("taken", "col_idx")
+    each = each.withColumns({"nth": F.row_number().over(by) - 1, "rank": F.dense_rank().over(W.partitionBy(*stem, F.col("taken").isNull()).orderBy("taken")), "first": F.coalesce(F.lag("taken").over(by) != F.col("taken"), F.col("taken").isNotNull())})
+    # The j-th number taken, r, moves the repeats from r - j + 1 on by one.
+    at = F.coalesce(F.col("taken") - F.col("rank") + 1, F.col("nth"))
+    moved = F.count_if("first").over(W.partitionBy(*stem).orderBy(at, F.col("taken").isNull()).rowsBetween(W.unboundedPreceding, 0))
+    each = each.withColumn("moved", moved).where("taken is null")
+    name = F.when(F.col("nth") == 0, F.col("stem")).otherwise(F.concat_ws("_", "stem", F.col("nth") + F.col("moved")))
+    return each.select(*[(name if c == "header" else F.col("row")[c]).alias(c) for c in headers.columns])
 
 
 def in_reading_order(cell: str, fix_arabic: bool | str) -> Column:

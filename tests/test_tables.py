@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from ledgerloom.functions.constants import STANDARD_COLUMNS
@@ -74,6 +76,25 @@ def test_names_are_unique(spark):
     assert len(set(got)) == 6 and got[0] == "A"
 
 
+def test_names_of_a_wide_table_are_settled_without_gathering_it(spark):
+    def one_by_one(names: list[str]) -> list[str]:
+        seen, out, all_names = {}, [], set(names)
+        for h in names:
+            n = seen[h] = seen.get(h, -1) + 1
+            while n and (f"{h}_{n}" in all_names or f"{h}_{n}" in out):
+                n += 1
+            out.append(f"{h}_{n}" if n else h)
+        return out
+
+    rng = random.Random(5)
+    tables = {f"d{t}": [rng.choice(["A", "A_1", "A_2", "A_3", "A_5", "A_1_1", "B", "_1", "A_01", "A\nB", "A\nB_1"]) for _ in range(40)] for t in range(20)}
+    rows = [(d, 0, i, h) for d, names in tables.items() for i, h in enumerate(names)]
+    found = T.dedupe_headers(spark.createDataFrame(rows, "doc_id string, table_id int, col_idx int, header string"))
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    got = {(r.doc_id, r.col_idx): r.header for r in found.collect()}
+    assert got == {(d, i): h for d, names in tables.items() for i, h in enumerate(one_by_one(names))}
+
+
 RULES = Rules.of({"suppliers": {"north": {"identifiers": ["North Gate"], "columns_mapping": {"Date": "Date", "Notes / Details": "V.NO", "Egy LE": "EGP", "Total": "Total"}, "notes_columns": {"Hotel": "Stay"}}}})
 
 
