@@ -6,6 +6,7 @@ windows and joins on (doc_id, page) and share one exchange.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
 import pandas as pd
@@ -169,23 +170,43 @@ def boxes_to_cells(boxes: DataFrame) -> DataFrame:
 
 # Known layouts
 
+#: Distinct texts that one task scores by matching blocks: a few seconds' work.
+TEXTS_PER_TASK = 20_000
 
-def label_hits(boxes: DataFrame, layouts: DataFrame) -> DataFrame:
-    """(supplier, text, label) of the texts of ``boxes`` (supplier, text) that resemble a label of their own supplier's layout.
 
-    ``layouts`` has (supplier, label). Texts that surely resemble none stay out of Python: numbers, and texts too long for
-    matching blocks that share no word with a label and contain none.
+def with_labels(boxes: DataFrame, layouts: DataFrame) -> DataFrame:
+    """``boxes`` (supplier, text and others) with label: which of their own supplier's labels the text resembles most, the first in a tie; null: none.
+
+    ``layouts`` has (supplier, label). A text that is a label, or whose words hold all of a label's or the other way, has the
+    highest score there is and is told on the spot. Of the others, those that surely resemble none stay out of Python:
+    numbers, and texts too long for matching blocks that share no word with a label and contain none.
     """
-    names = layouts.select("supplier", S.normalize_header("label").alias("name")).where("name <> ''").groupBy("supplier").agg(F.collect_set("name").alias("names"))
-    words = F.array_distinct(F.flatten(F.transform("names", lambda n: F.split(n, " "))))
-    names = names.select("supplier", "names", words.alias("words"), F.exists("names", lambda n: n.rlike(r"\p{Nd}")).alias("digits"), F.array_max(F.transform("names", F.length)).alias("longest"))
-    texts = boxes.select("supplier", "text").distinct().withColumn("plain", S.normalize_header("text")).join(names, "supplier")
-    plain = F.col("plain")
+    names = layouts.select("supplier", S.normalize_header("label").alias("name")).where("name <> ''").groupBy("supplier").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    own = F.transform("names", lambda n: F.struct(n.alias("name"), F.array_distinct(F.split(n, " ")).alias("words")))
+    names = names.select("supplier", "names", own.alias("own"), F.array_distinct(F.flatten(F.transform("names", lambda n: F.split(n, " ")))).alias("words"), F.exists("names", lambda n: n.rlike(r"\p{Nd}")).alias("digits"), F.array_max(F.transform("names", F.length)).alias("longest"))
+    found = boxes.withColumn("__plain", S.normalize_header("text")).join(small(names.select(F.col("supplier").alias("__of"), F.struct("names", "own", "words", "digits", "longest").alias("__l"))), F.col("supplier") == F.col("__of"), "left").drop("__of")
+    plain, said = F.col("__plain"), F.col("__said")
     # Blocks that match cover at most the shorter text, so a text over three times as long scores below a half.
-    blocks = F.length(plain) * K.TEMPLATE_LABEL_MATCH <= F.col("longest") * (2 - K.TEMPLATE_LABEL_MATCH)
-    may = (F.col("digits") | plain.rlike(r"\p{L}")) & (blocks | F.arrays_overlap(F.split(plain, " "), "words") | F.exists("names", lambda n: F.contains(plain, n)))
-    best = texts.where(may).withColumn("best", best_of(plain, F.array_sort("names"), label_similarity))
-    return best.where(F.col("best.score") >= K.TEMPLATE_LABEL_MATCH).select("supplier", "text", F.col("best.name").alias("label"))
+    blocks = F.length(plain) * K.TEMPLATE_LABEL_MATCH <= F.col("__l.longest") * (2 - K.TEMPLATE_LABEL_MATCH)
+    wordy = F.col("__l.digits") | plain.rlike(r"\p{L}")
+    found = found.withColumn("__said", F.when((plain != "") & wordy, F.array_distinct(F.split(plain, " "))))
+    shared = lambda w: F.size(F.array_intersect(said, w))
+    whole = F.filter("__l.own", lambda n: shared(n["words"]) == F.least(F.size(said), F.size(n["words"])))
+    found = found.withColumn("__sure", F.when(F.arrays_overlap(said, "__l.words"), F.get(whole, F.lit(0))["name"]))
+    may = F.col("__sure").isNull() & said.isNotNull() & (blocks | F.arrays_overlap(said, "__l.words") | F.exists("__l.names", lambda n: F.contains(plain, n)))
+    # Written first: a filter on scores would be pushed below the distinct, and every box be scored.
+    texts = settle(found.where(may).select("supplier", "__plain", F.col("__l.names").alias("names")).distinct(), "texts")
+    texts = texts.repartition(max(1, min(texts.count() // TEXTS_PER_TASK, 10_000)))
+    best = texts.withColumn("best", best_of(F.col("__plain"), F.col("names"), label_similarity)).where(F.col("best.score") >= K.TEMPLATE_LABEL_MATCH)
+    # "Date" stands on nearly every page: the few texts that are labels go to the boxes, not the boxes to them.
+    near = small(settle(best.select(F.col("supplier").alias("__of"), F.col("__plain").alias("__text"), F.col("best.name").alias("__near")), "labels"))
+    found = found.join(near, (F.col("supplier") == F.col("__of")) & (plain == F.col("__text")), "left")
+    return found.select(*[F.col(f"`{c}`") for c in boxes.columns], F.coalesce("__sure", "__near").alias("label"))
+
+
+def label_hits(boxes: DataFrame, layouts: DataFrame) -> DataFrame:
+    """(supplier, text, label) of the texts of ``boxes`` (supplier, text) that resemble a label of their own supplier's layout."""
+    return with_labels(boxes.select("supplier", "text").distinct(), layouts).where("label is not null")
 
 
 def header_boxes(boxes: DataFrame, layouts: DataFrame) -> DataFrame:
@@ -193,8 +214,7 @@ def header_boxes(boxes: DataFrame, layouts: DataFrame) -> DataFrame:
 
     ``boxes`` has supplier, the document's own or null; pages without one have no header.
     """
-    # "Date" stands on nearly every page: the few texts that are labels go to the boxes, not the boxes to them.
-    hits = boxes.join(small(settle(label_hits(boxes, layouts).drop("label"), "labels")), ["supplier", "text"])
+    hits = with_labels(boxes, layouts).where("label is not null").drop("label")
     middle = hits.groupBy(*PAGE).agg((F.median(F.col("y1") - F.col("y0")) * 0.5).alias("half"))
     grouped = islands(hits.join(middle, list(PAGE)), PAGE, _cy(), F.greatest(F.lit(1.0), F.col("half")), ["box_id"], "group")
     size = grouped.groupBy(*PAGE, "group").agg(F.count(F.lit(1)).alias("n"), F.min(_cy()).alias("lo"), F.max(_cy()).alias("hi"), F.max("half").alias("half"))
@@ -242,36 +262,59 @@ def slice_boxes(boxes: DataFrame, bounds: DataFrame) -> DataFrame:
     return each.select(*PAGE, "box_id", F.inline(pieces))
 
 
+def nearest_free(rows: Sequence[float], ys: Sequence[float], reach: float) -> list[int | None]:
+    """For each of ``ys`` the row that takes it, or None: each row, from the top, takes the nearest free one within ``reach``, the upper in a tie. Both are in order."""
+    values = sorted(set(ys))
+    at = [bisect_left(ys, v) for v in values]
+    end = [*at[1:], len(ys)]
+    # Where the next value with a free piece stands on either side; places count from 1, with nothing at both ends.
+    up, down = list(range(len(values) + 2)), list(range(len(values) + 2))
+
+    def free(to: list[int], k: int) -> int:
+        while to[k] != k:
+            to[k] = to[to[k]]
+            k = to[k]
+        return k
+
+    out: list[int | None] = [None] * len(ys)
+    for i, y in enumerate(rows):
+        k = bisect_right(values, y)
+        away, j = min(((abs(values[j - 1] - y), j) for j in (free(up, k), free(down, k + 1)) if 0 < j <= len(values)), default=(reach, 0))
+        if j and away <= reach:
+            out[at[j - 1]] = i
+            at[j - 1] += 1
+            if at[j - 1] == end[j - 1]:
+                up[j], down[j] = j - 1, j + 1
+    return out
+
+
 def snap_rows(pieces: DataFrame, heights: DataFrame) -> DataFrame:
     """(doc_id, page, line, band, cell): pieces placed on the rows of the fullest strip; line is null for pieces that no row takes.
 
     A strip with as many pieces as there are rows, starting near the first, is read in order. In others each row, from
-    the top, takes the nearest free piece within reach, so the choice depends on those before and runs page by page.
+    the top, takes the nearest free piece within reach; as that depends on the choices before, only such strips go to
+    Python, by batches of any pages. Pieces at one height stand in the order of their texts.
     """
 
-    def place(page: pd.DataFrame) -> pd.DataFrame:
-        by_band = {b: sorted(zip(g["y"], g["text"], strict=True), key=lambda t: t[0]) for b, g in page.groupby("band")}
-        back = min(by_band, key=lambda b: (-len(by_band[b]), b))
-        rows, out = [y for y, _ in by_band[back]], []
-        tall = float(page["median"].iloc[0])
-        pitch = (rows[-1] - rows[0]) / (len(rows) - 1) if len(rows) > 1 else tall
-        reach = max(1.0, tall * K.SNAP_TOLERANCE, pitch * K.SNAP_TOLERANCE)
-        for band, cells in by_band.items():
-            if len(cells) == len(rows) and (band == back or abs(cells[0][0] - rows[0]) <= 3 * reach):
-                out += [(i, band, t) for i, (_, t) in enumerate(cells)]
-                continue
-            free = dict(enumerate(cells))
-            for i, y in enumerate(rows):
-                best = min(free, key=lambda j: (abs(free[j][0] - y), j), default=None)
-                if best is not None and abs(free[best][0] - y) <= reach:
-                    out.append((i, band, free.pop(best)[1]))
-            out += [(None, band, t) for _, t in free.values()]
-        frame = pd.DataFrame(out, columns=["line", "band", "cell"])
-        frame["line"] = frame["line"].astype("Int32")
-        return frame.assign(doc_id=page["doc_id"].iloc[0], page=page["page"].iloc[0])[["doc_id", "page", "line", "band", "cell"]]
-
-    kind = dict(pieces.dtypes)
-    return pieces.join(heights, list(PAGE)).groupBy(*PAGE).applyInPandas(place, f"doc_id {kind['doc_id']}, page {kind['page']}, line int, band int, cell string")
+    @F.pandas_udf("array<int>")
+    def taken(rows: pd.Series, ys: pd.Series, reach: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else nearest_free(r.tolist(), y.tolist(), f) for r, y, f in zip(rows, ys, reach, strict=True)], dtype=object)
+
+    # Dealt out by page once: strips and what a page has in common follow from that.
+    cells = F.array_sort(F.collect_list(F.struct("y", "text")))
+    strips = pieces.select(*PAGE, "band", "y", "text").repartition(*PAGE).groupBy(*PAGE, "band").agg(cells.alias("cells")).withColumn("n", F.size("cells"))
+    back = F.max_by(F.struct("band", F.col("cells.y").alias("y")), F.struct("n", -F.col("band"))).over(W.partitionBy(*PAGE))
+    strips = strips.withColumn("back", back).join(heights.select(*PAGE, "median"), list(PAGE))
+    first, rows = F.col("back.y")[0], F.size("back.y")
+    pitch = F.when(rows > 1, (F.element_at("back.y", -1) - first) / (rows - 1)).otherwise(F.col("median"))
+    strips = strips.withColumn("reach", F.greatest(F.lit(1.0), F.col("median") * K.SNAP_TOLERANCE, pitch * K.SNAP_TOLERANCE))
+    near = (F.col("band") == F.col("back.band")) | (F.abs(F.col("cells")[0]["y"] - first) <= 3 * F.col("reach"))
+    strips = strips.withColumn("ordered", (F.col("n") == rows) & near)
+    other = lambda c: F.when(~F.col("ordered"), c)
+    strips = strips.withColumn("placed", taken(other(F.col("back.y")), other(F.col("cells.y")), F.col("reach")))
+    each = strips.select(*PAGE, "band", "ordered", "placed", F.posexplode("cells").alias("i", "piece"))
+    line = F.when(F.col("ordered"), F.col("i")).otherwise(F.get("placed", F.col("i")))
+    return each.select(*PAGE, line.alias("line"), F.col("band").cast("int").alias("band"), F.col("piece.text").alias("cell"))
 
 
 def template_cells(boxes: DataFrame, labels: Sequence[str] | DataFrame, suppliers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -323,6 +366,7 @@ def orientations(boxes: DataFrame, page_height: Column, layouts: DataFrame) -> D
     boxes = with_page_width(boxes)
     if "supplier" not in boxes.columns:
         boxes, layouts = boxes.withColumn("supplier", F.lit("")), layouts.select(F.lit("").alias("supplier"), "label")
+    boxes = settle(with_labels(boxes, layouts), "labelled")
     # A turn counts as a page of its own, so that all are looked at in one plan.
     turned = [boxes, rotate(boxes, page_height), rotate(boxes, page_height, clockwise=False)]
     columns = boxes.columns
@@ -330,9 +374,7 @@ def orientations(boxes: DataFrame, page_height: Column, layouts: DataFrame) -> D
     for i, one in enumerate(turned):
         one = one.select(*columns).withColumn("page", F.col("page") * len(TURNS) + i)
         every = one if every is None else every.unionByName(one)
-    rows = settle(rows_of(every), "turned rows")
-    marked = rows.join(small(settle(label_hits(boxes, layouts), "labels")), ["supplier", "text"], "left")
-    lines = marked.groupBy(*PAGE, "line").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels"), F.count_if(F.col("x1") - F.col("x0") > F.col("y1") - F.col("y0")).alias("wide"))
+    lines = rows_of(every).groupBy(*PAGE, "line").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels"), F.count_if(F.col("x1") - F.col("x0") > F.col("y1") - F.col("y0")).alias("wide"))
     page = W.partitionBy(*PAGE)
     head = F.max(F.struct("labels", (-F.col("line")).alias("at"))).over(page)
     lines = lines.withColumn("head", head)

@@ -1,7 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import constants as K
+from ledgerloom.functions.similarity import Matcher, label_similarity
 from ledgerloom.operators import geometry as G
+from ledgerloom.operators.mapping import normalized
 from ledgerloom.plans import pipelines as P
 
 
@@ -113,3 +118,41 @@ def test_turning_a_page(spark):
     df = page(spark, [("x", 10, 20, 30, 60)], 100)
     r = G.rotate(df, F.lit(200.0)).first()
     assert (r.x0, r.y0, r.x1, r.y1, r.page_width) == (140.0, 10.0, 180.0, 30.0, 200.0)
+
+
+def test_rows_take_the_nearest_free_pieces_as_one_by_one():
+    rng = random.Random(3)
+    for _ in range(400):
+        rows = sorted(rng.choice([float(rng.randint(0, 30)), rng.uniform(0, 30)]) for _ in range(rng.randint(1, 12)))
+        ys = sorted(float(rng.randint(0, 30)) for _ in range(rng.randint(1, 14)))
+        free, want = set(range(len(ys))), [None] * len(ys)
+        for i, y in enumerate(rows):
+            best = min(free, key=lambda j: (abs(ys[j] - y), j), default=None)
+            if best is not None and abs(ys[best] - y) <= 4.0:
+                free.remove(best)
+                want[best] = i
+        assert G.nearest_free(rows, ys, 4.0) == want
+
+
+def test_pages_are_snapped_without_a_python_call_each(spark):
+    rows = [(d, 0, b, f"{b}:{i}", i * 20.0 + b) for d in range(30) for b in range(3) for i in range(6) if b == 0 or i != (d + b) % 7]
+    pieces = spark.createDataFrame(rows, "doc_id int, page int, band int, text string, y double")
+    heights = pieces.select("doc_id", "page").distinct().withColumn("median", F.lit(10.0))
+    found = G.snap_rows(pieces, heights)
+    assert "InPandas" not in found._jdf.queryExecution().toString()
+    assert sorted((r.doc_id, r.band, r.cell, r.line) for r in found.collect()) == sorted((d, b, t, int(t[2:])) for d, _, b, t, _ in rows)
+
+
+def test_only_texts_of_unsure_labels_are_scored(spark, monkeypatch):
+    names = ["Adult", "Date", "Hotel Name", "Total Net"]
+    texts = ["hotel 12", "Hotel", "net", "DATE", "dat", "Totl net", "123", "zzz", "adults", "name of the hotel", "", "a hotel name 5"]
+    scored = []
+    monkeypatch.setattr(G, "settle", lambda df, name: scored.extend(r[1] for r in df.collect()) or df if name == "texts" else df)
+    boxes = spark.createDataFrame([("s", t) for t in texts] + [(None, "Date"), ("other", "Date")], "supplier string, text string")
+    got = {(r.supplier, r.text): r.label for r in G.with_labels(boxes, spark.createDataFrame([("s", n) for n in names], "supplier string, label string")).collect()}
+    matcher = Matcher([(n, n) for n in sorted(map(normalized, names))], label_similarity)
+    for t in texts:
+        name, score = matcher.best(normalized(t))
+        assert got["s", t] == (name if score >= K.TEMPLATE_LABEL_MATCH else None), t
+    assert got[None, "Date"] is None and got["other", "Date"] is None
+    assert not {"hotel", "net", "date", "123", "a hotel name 5"} & set(scored)
