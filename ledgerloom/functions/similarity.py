@@ -165,8 +165,16 @@ def best_of(text: Column, names: Column, scorer: Scorer = similarity) -> Column:
     """struct<name string, score double>: of the names (normalized, an array) that stand beside a text the first with the highest score; name is null at 0."""
 
     @F.pandas_udf("name string, score double")
-    def run(x: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([Matcher([(n, n) for n in each], scorer).best(t) for t, each in zip(x.fillna(""), lists, strict=True)], columns=["name", "score"])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        # Few lists stand beside many texts; what a list's candidates share is worked out once a batch.
+        for x, lists in batches:
+            matchers: dict[tuple[str, ...], Matcher] = {}
+            found = []
+            for t, each in zip(x.fillna(""), map(tuple, lists), strict=True):
+                if each not in matchers:
+                    matchers[each] = Matcher([(n, n) for n in each], scorer)
+                found.append(matchers[each].best(t))
+            yield pd.DataFrame(found, columns=["name", "score"])
 
     return run(text, names)
 
