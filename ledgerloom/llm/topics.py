@@ -1,8 +1,9 @@
 """Topics of documents: clusters of their term vectors, for corpora that carry no topic labels.
 
 Longer words are hashed to TERMS terms; document frequencies are counted over all documents. Centroids are fitted by
-spherical k-means on the TF-IDF vectors of a bounded sample (SAMPLE documents of smallest id hash); every document then
-gets the topic of the nearest centroid, so only the fit looks at a sample.
+spherical k-means on the TF-IDF vectors of all documents: each seed and each round is a pass over the written terms, from
+which only a document or the clusters' sums (topics by terms) come back. Sums are integers, so the fit doesn't depend on how
+rows are partitioned.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from ledgerloom.llm.shared import codes, slices, words_of
 TOPICS, TERMS = 8, 4096
 #: Words from so many bytes on are terms.
 TERM_BYTES = 5
-#: Documents that the centroids are fitted on.
-SAMPLE = 4_000
 ROUNDS = 20
+#: Parts of a unit vector's entry that are added up; a billion documents' sums fit a long.
+GRAIN = 1 << 30
 #: Texts counted at once: 64 MB of counts.
 ROWS = 2_000
 
@@ -78,8 +79,21 @@ def _unpacked(terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs]), pairs[:, 0], pairs[:, 1]
 
 
-def fit(termed: DataFrame, key: str = "doc_id", sample: int = SAMPLE, topics: int = TOPICS) -> Topics:
-    """Topics of a written table of ``with_terms``; without terms there is one weightless topic."""
+def unit_vectors(terms: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, weight) of the texts' TF-IDF vectors of length 1, and whether a text has one: some have no term that counts."""
+    row, term, count = _unpacked(terms)
+    weight = (1 + np.log(count)) * idf[term]
+    size = np.sqrt(np.bincount(row, weight * weight, len(terms)))
+    return row, term, np.divide(weight, size[row], out=np.zeros_like(weight), where=size[row] > 0), size > 0
+
+
+def likeness(row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, centroids: np.ndarray) -> np.ndarray:
+    """Cosines (text, centroid), rounded so that sums in any order compare alike."""
+    return np.round(np.stack([np.bincount(row, weight * c[term], rows) for c in centroids], axis=1), 9)
+
+
+def fit(termed: DataFrame, key: str = "doc_id", topics: int = TOPICS, rounds: int = ROUNDS) -> Topics:
+    """Topics of a written table of ``with_terms``, from all its rows; without terms there is one weightless topic."""
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = 0, np.zeros(TERMS, np.int64)
@@ -92,17 +106,63 @@ def fit(termed: DataFrame, key: str = "doc_id", sample: int = SAMPLE, topics: in
     counted = {r.term: r.n for r in termed.select("terms").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     documents = counted.get(-1, 0)
     idf = np.log((documents + 1) / (np.array([counted.get(t, 0) for t in range(TERMS)]) + 1.0))
-    found = termed.where(F.length("terms") > 0).select("terms", F.xxhash64(F.col(key).cast("string"), "terms").alias("h"), key).orderBy("h", key, "terms").limit(sample).select("terms").toArrow()
-    row, term, count = _unpacked(found.column("terms"))
-    x = np.zeros((found.num_rows, TERMS), np.float32)
-    x[row, term] = (1 + np.log(count)) * idf[term]
-    size = np.linalg.norm(x, axis=1)
-    x = x[size > 0] / size[size > 0, None]
-    return Topics(idf, spherical_kmeans(x, topics))
+    rows = termed.where(F.length("terms") > 0).select("terms", F.xxhash64(F.col(key).cast("string"), "terms").alias("h"))
+
+    def farthest(seeds: np.ndarray):
+        """Of each batch, the text least like any seed."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row, term, weight, there = unit_vectors(batch.column("terms"), idf)
+                near = likeness(row, term, weight, batch.num_rows, seeds).max(1) if len(seeds) else np.zeros(batch.num_rows)
+                h = batch.column("h").to_numpy()
+                order = np.lexsort((h, np.where(there, near, np.inf)))[:1]
+                if len(order) and there[order[0]]:
+                    yield pa.record_batch([pa.array(near[order]), pa.array(h[order]), batch.column("terms").take(pa.array(order))], ["near", "h", "terms"])
+
+        return run
+
+    def added(centroids: np.ndarray):
+        """The sums of the texts nearest to each centroid, by topic and term."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(centroids) * TERMS, np.int64)
+            for batch in batches:
+                row, term, weight, _ = unit_vectors(batch.column("terms"), idf)
+                nearest = likeness(row, term, weight, batch.num_rows, centroids).argmax(1)
+                # Whole numbers below 2**53 add up exactly.
+                total += np.bincount(nearest[row] * TERMS + term, np.rint(weight * GRAIN), len(total)).astype(np.int64)
+            at = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(at), pa.array(total[at])], ["at", "total"])
+
+        return run
+
+    seeds = np.zeros((0, TERMS))
+    while len(seeds) < topics:
+        found = rows.mapInArrow(farthest(seeds), "near double, h long, terms binary").orderBy("near", "h", "terms").limit(1).toArrow()
+        if not found.num_rows or found.column("near")[0].as_py() >= 1 - 1e-6:
+            break
+        _, term, weight, _ = unit_vectors(found.column("terms").combine_chunks(), idf)
+        seed = np.zeros(TERMS)
+        seed[term] = weight
+        seeds = np.vstack([seeds, seed])
+    if not len(seeds):
+        return Topics(idf, np.zeros((1, TERMS)))
+    centroids, before = seeds, None
+    for _ in range(rounds):
+        sums = rows.select("terms").mapInArrow(added(centroids), "at long, total long").groupBy("at").agg(F.sum("total").alias("total")).toArrow()
+        total = np.zeros(len(centroids) * TERMS, np.int64)
+        total[sums.column("at").to_numpy()] = sums.column("total").to_numpy()
+        if before is not None and np.array_equal(total, before):
+            break
+        before, total = total, total.reshape(-1, TERMS).astype(float)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        centroids = np.where(size > 0, total / np.maximum(size, 1.0), centroids)
+    return Topics(idf, centroids)
 
 
 def spherical_kmeans(x: np.ndarray, topics: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Unit centroids of the unit rows of ``x``, from seeds that lie far from each other; fewer where rows are fewer or alike."""
+    """``fit``'s clusters for vectors in memory: unit centroids of the unit rows of ``x``, from seeds that lie far from each other; fewer where rows are fewer or alike."""
     if not len(x):
         return np.zeros((1, x.shape[1]))
     seeds, near = [0], x @ x[0]

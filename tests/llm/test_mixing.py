@@ -185,3 +185,18 @@ def test_query_cells_are_recomputed(spark, small):
     a = np.array([[k[0] == s for s in {k[0] for k in logs}] + [k[1] == g for g in {k[1] for k in logs}] + [k[2] == t for t in {k[2] for k in logs}] for k in logs], float)
     y = np.array(list(logs.values()))
     assert np.abs(a @ np.linalg.lstsq(a, y, rcond=None)[0] - y).max() < 1e-3
+
+
+def test_topics_are_fitted_on_all_documents(spark):
+    """Each centroid is the mean direction of all texts nearest to it, not of a part of them."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"word{k}x{i % 3}" for k in rng.integers(0, 40, 6))) for i in range(4300)]
+    termed = topics.with_terms(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).cache()
+    found = topics.fit(termed, topics=3, rounds=100)
+    row, term, weight, _ = topics.unit_vectors(termed.orderBy("doc_id").toArrow().column("terms").combine_chunks(), found.idf)
+    x = np.zeros((len(rows), topics.TERMS))
+    x[row, term] = weight
+    nearest = (x @ found.centroids.T).argmax(1)
+    for k, centroid in enumerate(found.centroids):
+        mean = x[nearest == k].sum(0)
+        assert np.abs(mean / np.linalg.norm(mean) - centroid).max() < 1e-6
