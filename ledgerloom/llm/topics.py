@@ -1,8 +1,8 @@
 """Topics of documents: clusters of their term vectors, for corpora that carry no topic labels.
 
 Longer words are hashed to TERMS terms; document frequencies are counted over all documents. Centroids are fitted by
-spherical k-means on the TF-IDF vectors of all documents: each seed and each round is a pass over the written terms, from
-which only a document or the clusters' sums (topics by terms) come back. Sums are integers, so the fit doesn't depend on how
+spherical k-means on the TF-IDF vectors of all documents, which are worked out and written once: each seed and each round is
+a pass over them, from which only a document or the clusters' sums (topics by terms) come back. Sums are integers, so the fit doesn't depend on how
 rows are partitioned.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import codes, slices, words_of
+from ledgerloom.llm.shared import codes, materialize, slices, words_of
 
 TOPICS, TERMS = 8, 4096
 #: Words from so many bytes on are terms.
@@ -87,9 +87,38 @@ def unit_vectors(terms: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row, term, np.divide(weight, size[row], out=np.zeros_like(weight), where=size[row] > 0), size > 0
 
 
-def likeness(row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, centroids: np.ndarray) -> np.ndarray:
-    """Cosines (text, centroid), rounded so that sums in any order compare alike."""
-    return np.round(np.stack([np.bincount(row, weight * c[term], rows) for c in centroids], axis=1), 9)
+def likeness(first: np.ndarray, term: np.ndarray, weight: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Cosines (text, centroid), rounded so that sums in any order compare alike. ``first``: where each text's terms begin; none is without."""
+    return np.round(np.stack([np.add.reduceat(weight * c[term], first) for c in centroids], axis=1), 9)
+
+
+def _packs(rows: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(texts, h, sizes, terms, weights): unit vectors of ``rows`` (h, terms), ROWS texts a row, so that a pass reads arrays and works nothing out again.
+
+    Texts whose terms all weigh nothing are left out. Weights are kept as float32.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                row, term, weight, there = unit_vectors(part.column("terms"), idf)
+                n = int(there.sum())
+                if n:
+                    own = there[row]
+                    arrays = (part.column("h").to_numpy()[there], np.bincount(row, minlength=len(there))[there].astype("<u2"), term[own].astype("<u2"), weight[own].astype("<f4"))
+                    yield pa.record_batch([pa.array([n]), *[pa.array([a.tobytes()], pa.binary()) for a in arrays]], ["texts", "h", "sizes", "terms", "weights"])
+
+    return rows.mapInArrow(run, "texts long, h binary, sizes binary, terms binary, weights binary")
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(h, size, first, term, weight) of each row of ``_packs``."""
+    for batch in batches:
+        for h, sizes, terms, weights in zip(*[batch.column(c) for c in ("h", "sizes", "terms", "weights")], strict=True):
+            of = lambda v, kind: np.frombuffer(v.as_buffer(), kind)
+            size = of(sizes, "<u2").astype(np.int64)
+            yield of(h, "<i8"), size, np.cumsum(size) - size, of(terms, "<u2").astype(np.int64), of(weights, "<f4").astype(float)
 
 
 def fit(termed: DataFrame, key: str = "doc_id", topics: int = TOPICS, rounds: int = ROUNDS) -> Topics:
@@ -106,19 +135,18 @@ def fit(termed: DataFrame, key: str = "doc_id", topics: int = TOPICS, rounds: in
     counted = {r.term: r.n for r in termed.select("terms").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     documents = counted.get(-1, 0)
     idf = np.log((documents + 1) / (np.array([counted.get(t, 0) for t in range(TERMS)]) + 1.0))
-    rows = termed.where(F.length("terms") > 0).select("terms", F.xxhash64(F.col(key).cast("string"), "terms").alias("h"))
+    rows = termed.where(F.length("terms") > 0).select(F.xxhash64(F.col(key).cast("string"), "terms").alias("h"), "terms")
+    packs = materialize(_packs(rows, idf), "vectors")
 
     def farthest(seeds: np.ndarray):
-        """Of each batch, the text least like any seed."""
+        """Of each pack, the text least like any seed."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                row, term, weight, there = unit_vectors(batch.column("terms"), idf)
-                near = likeness(row, term, weight, batch.num_rows, seeds).max(1) if len(seeds) else np.zeros(batch.num_rows)
-                h = batch.column("h").to_numpy()
-                order = np.lexsort((h, np.where(there, near, np.inf)))[:1]
-                if len(order) and there[order[0]]:
-                    yield pa.record_batch([pa.array(near[order]), pa.array(h[order]), batch.column("terms").take(pa.array(order))], ["near", "h", "terms"])
+            for h, size, first, term, weight in _vectors(batches):
+                near = likeness(first, term, weight, seeds).max(1) if len(seeds) else np.zeros(len(h))
+                i = np.lexsort((h, near))[0]
+                of = slice(first[i], first[i] + size[i])
+                yield pa.record_batch([pa.array([near[i]]), pa.array([h[i]]), pa.array([term[of].tolist()], pa.list_(pa.int64())), pa.array([weight[of].tolist()], pa.list_(pa.float64()))], ["near", "h", "term", "weight"])
 
         return run
 
@@ -127,11 +155,10 @@ def fit(termed: DataFrame, key: str = "doc_id", topics: int = TOPICS, rounds: in
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(centroids) * TERMS, np.int64)
-            for batch in batches:
-                row, term, weight, _ = unit_vectors(batch.column("terms"), idf)
-                nearest = likeness(row, term, weight, batch.num_rows, centroids).argmax(1)
+            for _, size, first, term, weight in _vectors(batches):
+                nearest = likeness(first, term, weight, centroids).argmax(1)
                 # Whole numbers below 2**53 add up exactly.
-                total += np.bincount(nearest[row] * TERMS + term, np.rint(weight * GRAIN), len(total)).astype(np.int64)
+                total += np.bincount(np.repeat(nearest * TERMS, size) + term, np.rint(weight * GRAIN), len(total)).astype(np.int64)
             at = np.flatnonzero(total)
             yield pa.record_batch([pa.array(at), pa.array(total[at])], ["at", "total"])
 
@@ -139,18 +166,17 @@ def fit(termed: DataFrame, key: str = "doc_id", topics: int = TOPICS, rounds: in
 
     seeds = np.zeros((0, TERMS))
     while len(seeds) < topics:
-        found = rows.mapInArrow(farthest(seeds), "near double, h long, terms binary").orderBy("near", "h", "terms").limit(1).toArrow()
-        if not found.num_rows or found.column("near")[0].as_py() >= 1 - 1e-6:
+        found = packs.mapInArrow(farthest(seeds), "near double, h long, term array<long>, weight array<double>").orderBy("near", "h", "term", "weight").limit(1).collect()
+        if not found or found[0].near >= 1 - 1e-6:
             break
-        _, term, weight, _ = unit_vectors(found.column("terms").combine_chunks(), idf)
         seed = np.zeros(TERMS)
-        seed[term] = weight
+        seed[found[0].term] = found[0].weight
         seeds = np.vstack([seeds, seed])
     if not len(seeds):
         return Topics(idf, np.zeros((1, TERMS)))
     centroids, before = seeds, None
     for _ in range(rounds):
-        sums = rows.select("terms").mapInArrow(added(centroids), "at long, total long").groupBy("at").agg(F.sum("total").alias("total")).toArrow()
+        sums = packs.mapInArrow(added(centroids), "at long, total long").groupBy("at").agg(F.sum("total").alias("total")).toArrow()
         total = np.zeros(len(centroids) * TERMS, np.int64)
         total[sums.column("at").to_numpy()] = sums.column("total").to_numpy()
         if before is not None and np.array_equal(total, before):

@@ -200,3 +200,23 @@ def test_topics_are_fitted_on_all_documents(spark):
     for k, centroid in enumerate(found.centroids):
         mean = x[nearest == k].sum(0)
         assert np.abs(mean / np.linalg.norm(mean) - centroid).max() < 1e-6
+
+
+def test_passes_read_unit_vectors_packed_once(spark):
+    """Every text with a weight is in one pack with its unit vector, thousands a row; others are left out."""
+    rows = [(i, " ".join(f"word{(i * k) % 37}x" for k in range(1, 6)) if i % 9 else "everywhere") for i in range(4500)]
+    termed = topics.with_terms(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), ["doc_id"]).cache()
+    idf = np.ones(topics.TERMS)
+    idf[zlib.crc32(b"everywhere") % topics.TERMS] = 0.0
+    packs = topics._packs(termed.selectExpr("doc_id as h", "terms"), idf).toArrow()
+    assert packs.num_rows <= 4 and sum(packs["texts"].to_pylist()) == sum(i % 9 > 0 for i in range(4500))
+    seen = {}
+    for h, size, first, term, weight in topics._vectors(packs.to_batches()):
+        for i, a, n in zip(h.tolist(), first.tolist(), size.tolist(), strict=True):
+            seen[i] = dict(zip(term[a : a + n].tolist(), weight[a : a + n].tolist(), strict=True))
+    for i in (1, 2, 37, 4499):
+        count = Counter(zlib.crc32(w.encode()) % topics.TERMS for w in rows[i][1].split())
+        want = {t: 1 + np.log(n) for t, n in count.items()}
+        length = np.sqrt(sum(v * v for v in want.values()))
+        assert seen[i].keys() == want.keys() and all(abs(seen[i][t] - v / length) < 1e-6 for t, v in want.items())
+    assert 0 not in seen and 9 not in seen
