@@ -10,8 +10,9 @@ import csv
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from urllib.parse import quote
 
 import pyarrow.fs as pafs
@@ -39,9 +40,15 @@ def file_name(key: object, part: int, suffix: str) -> str:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """What a task staged: (staged path, final name) of its files."""
+    """What a task staged: its folder and its files' final names, compressed; the staged files are numbered in that order."""
 
-    files: list[tuple[str, str]] = field(default_factory=list)
+    folder: str
+    names: bytes
+
+    def files(self) -> Iterator[tuple[str, str]]:
+        """(staged path, final name) of each file."""
+        names = zlib.decompress(self.names).decode()
+        return ((f"{self.folder}/{i}", name) for i, name in enumerate(names.split("\n") if names else ()))
 
 
 class _Csv:
@@ -91,34 +98,34 @@ class InvoiceFilesWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator[Row]) -> Written:
         fs, root = _store(self.path)
-        staged, done, now, out = f"{root}/{STAGING}/{self.job}/{uuid.uuid4().hex}", Written(), None, None
+        staged, names, now, out = f"{root}/{STAGING}/{self.job}/{uuid.uuid4().hex}", [], None, None
         fs.create_dir(staged, recursive=True)
         for row in iterator:
             key = (row[self.by], row[self.part] if self.part else 0)
             if out is None or key != now:
                 if out is not None:
                     out.close()
-                name = file_name(*key, self.suffix)
-                done.files.append((f"{staged}/{len(done.files)}", name))
-                stream = fs.open_output_stream(done.files[-1][0])
+                stream = fs.open_output_stream(f"{staged}/{len(names)}")
+                names.append(file_name(*key, self.suffix))
                 now, out = key, (_Workbook if self.suffix == ".xlsx" else _Csv)(stream, self.columns)
             out.add([row[c] for c in self.columns])
         if out is not None:
             out.close()
-        return done
+        return Written(staged, zlib.compress("\n".join(names).encode()))
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = _store(self.path)
-        moves = [f for m in messages if m for f in m.files]
-        names = [name for _, name in moves]
-        if len(set(names)) < len(names):
-            self.abort(messages)
-            raise ValueError("rows of one key lie in several tasks or apart: repartition and sort by it first")
+        names = set()
+        for _, name in (f for m in messages if m for f in m.files()):
+            if name in names:
+                self.abort(messages)
+                raise ValueError("rows of one key lie in several tasks or apart: repartition and sort by it first")
+            names.add(name)
         if self.overwrite:
             for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
-                if info.type == pafs.FileType.File and info.base_name.endswith(self.suffix) and info.base_name not in set(names):
+                if info.type == pafs.FileType.File and info.base_name.endswith(self.suffix) and info.base_name not in names:
                     fs.delete_file(info.path)
-        for staged, name in moves:
+        for staged, name in (f for m in messages if m for f in m.files()):
             fs.move(staged, f"{root}/{name}")
         self._clear(fs, root)
 

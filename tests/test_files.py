@@ -146,3 +146,20 @@ def test_columns_that_are_not_asked_for_are_not_read(spark, pages):
 def test_read_tasks_are_bounded(spark, pages):
     assert files.page_files(spark, str(pages), ".tsv", task_bytes=80).rdd.getNumPartitions() >= 4
     assert files.page_files(spark, str(pages), ".tsv").rdd.getNumPartitions() == 1
+
+
+def test_what_a_task_tells_the_driver_is_small(tmp_path):
+    """A few bytes a file, not two paths; all files are named and moved in order, and a task without rows names none."""
+    import pickle
+
+    from pyspark.sql import Row
+
+    schema = files.StructType.fromJson({"type": "struct", "fields": [{"name": n, "type": "string", "nullable": True, "metadata": {}} for n in ("doc_id", "v")]})
+    writer = files.InvoiceFilesWriter({"path": str(tmp_path), "by": "doc_id"}, schema, False)
+    message = writer.write(Row(doc_id=f"{i:05d}\n", v=str(i)) for i in range(2000))
+    assert len(pickle.dumps(message)) < 20 * 2000
+    nothing = writer.write(iter(()))
+    assert list(nothing.files()) == []
+    writer.commit([message, nothing])
+    got = contents(tmp_path)
+    assert len(got) == 2000 and got["00017%0A.csv"] == [["v"], ["17"]]
