@@ -87,31 +87,45 @@ def to_frames(cells: DataFrame, fix_arabic: bool | str = True) -> tuple[DataFram
     return headers, body
 
 
-def summary_rows(body: DataFrame, headers: DataFrame, arabic_labels: bool = True, min_filled: int | None = 5) -> DataFrame:
-    """(doc_id, table_id, row_idx) of rows that are totals, repeated headers, labels or nearly empty.
-
-    ``min_filled`` None scales with the table: half its columns, 2 at least and 5 at most.
-    """
-    first = F.min("col_idx").over(W.partitionBy(*TABLE))
-    name = headers.select(*TABLE, "col_idx", F.lower(F.trim("header")).alias("name"))
+def _judged(body: DataFrame, headers: DataFrame, arabic_labels: bool, min_filled: int | None) -> DataFrame:
+    """``body`` with __summary (boolean), all of it by windows inside the tables: one exchange by table, which headers share."""
+    names = headers.select(*TABLE, "col_idx", F.lower(F.trim("header")).alias("__name"), F.lit(True).alias("__head"))
+    both = body.withColumn("__head", F.lit(False)).unionByName(names, allowMissingColumns=True).repartition(*TABLE)
+    whole = W.partitionBy(*TABLE)
     t = F.trim(F.coalesce("cell", F.lit("")))
     low = F.lower(t)
-    marked = body.withColumn("lead", F.col("col_idx") == first).join(name, [*TABLE, "col_idx"], "left")
-    is_lead = F.col("lead") & (low.isin(*K.TOTAL_LABELS) | (low == F.col("name")) | low.isin(*K.SUMMARY_WORDS) | low.startswith("t.cost") | low.startswith("t cost"))
+    lead = ~F.col("__head") & (F.col("col_idx") == F.col("__first"))
+    is_lead = lead & (low.isin(*K.TOTAL_LABELS) | F.array_contains("__names", low) | low.isin(*K.SUMMARY_WORDS) | low.startswith("t.cost") | low.startswith("t cost"))
     if arabic_labels:
-        is_lead = is_lead | (F.col("lead") & S.has_arabic(t))
+        is_lead = is_lead | (lead & S.has_arabic(t))
     labelled = t.rlike(K.SUMMARY_CELL) | t.rlike(K.SUMMARY_ROW) | t.rlike(K.INVOICE_LABEL)
-    rows = marked.groupBy(*ROW).agg(F.max(F.coalesce(is_lead, F.lit(False)) | labelled).alias("label"), _count(t != "").alias("filled"))
+    # Columns first: their order serves the tables too.
+    marked = both.withColumn("__names", F.collect_set("__name").over(W.partitionBy(*TABLE, "col_idx")))
+    marked = marked.withColumns({"__first": F.min(F.when(~F.col("__head"), F.col("col_idx"))).over(whole), "__width": F.count_if("__head").over(whole)})
+    marked = marked.where(~F.col("__head")).withColumns({"__label": F.coalesce(is_lead, F.lit(False)) | labelled, "__full": t != ""})
+    least = F.lit(min_filled)
+    if min_filled is None:
+        # A table without headers has no width, and keeps its rows.
+        least = F.when(F.col("__width") > 0, F.least(F.lit(5), F.greatest(F.lit(2), F.floor(F.col("__width") / 2))))
+    row = W.partitionBy(*ROW)
+    summary = F.max("__label").over(row) | (F.count_if("__full").over(row) < least)
     if min_filled is None:
-        wide = headers.groupBy(*TABLE).agg(F.least(F.lit(5), F.greatest(F.lit(2), F.floor(F.count(F.lit(1)) / 2))).alias("least"))
-        rows = rows.join(wide, list(TABLE))
-    else:
-        rows = rows.withColumn("least", F.lit(min_filled))
-    return rows.where("label or filled < least").select(*ROW)
+        summary = summary & (F.col("__width") > 0)
+    return marked.withColumn("__summary", F.coalesce(summary, F.lit(False))).select(*body.columns, "__summary")
+
+
+def summary_rows(body: DataFrame, headers: DataFrame, arabic_labels: bool = True, min_filled: int | None = 5) -> DataFrame:
+    """(doc_id, table_id, row_idx) of rows that are totals, repeated headers, labels or nearly empty.
+
+    ``min_filled`` None scales with the table: half its columns, 2 at least and 5 at most.
+    """
+    return _judged(body, headers, arabic_labels, min_filled).where("__summary").select(*ROW).distinct()
 
 
 def drop_summary_rows(body: DataFrame, headers: DataFrame, arabic_labels: bool = True, min_filled: int | None = 5) -> DataFrame:
-    return body.join(summary_rows(body, headers, arabic_labels, min_filled), list(ROW), "left_anti")
+    """``body`` without ``summary_rows``; rows whose place is null stay."""
+    nowhere = F.col("doc_id").isNull() | F.col("table_id").isNull() | F.col("row_idx").isNull()
+    return _judged(body, headers, arabic_labels, min_filled).where(~F.col("__summary") | nowhere).drop("__summary")
 
 
 def summary_tables(cells: DataFrame, strict: bool = False) -> DataFrame:

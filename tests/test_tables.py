@@ -119,3 +119,14 @@ def test_rule_tables(spark, tmp_path):
     assert [r.identifier for r in t["supplier_identifiers"].collect()] == ["x", "y"]
     assert t["supplier_columns"].first().standard_column == "Hotel" and rules.suppliers["a"].header_names == ["H", "R"]
     assert M.alias_pairs()[0][0] == "EGP Converter"
+
+
+def test_summary_rows_are_found_with_one_exchange(spark):
+    """Headers and cells meet inside their tables: nothing but tables is moved, whatever the sizes; null places and tables without headers stay."""
+    cells = [(d, 0, r, c, t) for d in ("a", "b") for r, line in enumerate([("Hotel", "x", "1"), ("TOTAL", "", "9"), ("Inn", "y", "2"), ("", "z", "")], 1) for c, t in enumerate(line)]
+    cells += [(None, 0, 1, 0, "Total"), ("c", None, 1, 0, "Total")]
+    body = spark.createDataFrame(cells, "doc_id string, table_id int, row_idx int, col_idx int, cell string")
+    headers = spark.createDataFrame([("a", 0, c, h) for c, h in enumerate(("hotel ", "N", "V"))], "doc_id string, table_id int, col_idx int, header string")
+    kept = T.drop_summary_rows(body, headers, min_filled=None)
+    assert sorted({(r.doc_id, r.table_id, r.row_idx) for r in kept.collect()}, key=repr) == sorted([("a", 0, 3), *[("b", 0, r) for r in (1, 2, 3, 4)], (None, 0, 1), ("c", None, 1)], key=repr)
+    assert kept.columns == body.columns and kept.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
