@@ -134,3 +134,24 @@ def test_scores_do_not_follow_partitions(spark):
     assert len(want) == 201
     for n, how in ((3, {}), (7, {"block_bytes": 2000}), (5, {"block_bytes": 1000, "range_bytes": 2000})):
         assert scored(n, **how) == want
+
+
+def test_contexts_are_words(spark):
+    """Words with the same ending are different contexts: what follows each is certain."""
+    df = spark.createDataFrame([(i, " ".join(["king left sing right"] * 30), i % 5 == 1) for i in range(40)], "doc_id long, text string, held boolean")
+    assert all(r.perplexity < 1.2 for r in P.perplexity(P.score_documents(df)).collect())
+
+
+def test_range_without_training_knows_the_others():
+    """A pair that one range met in held-out texts only has the count that the bucket's other ranges give it."""
+
+    def payload(trained):
+        return P.pack_arrays(*(np.array(a) for a in ([0], [2], [0, 5], [0, 1], trained)))
+
+    parts = [P.build_bucket(np.array([i]), [payload(n)], some=True) for i, n in enumerate(([0, 0], [3, 1], [2, 0]))]
+    whole = P.merge_buckets(parts)
+    g = whole.sums()
+    seats = P.Seated(np.full((whole.cell_count > 1).sum(), 2.0), np.array([3.0]), np.array([1.0]))
+    for p in parts:
+        (_, answer), = P.answers(p, seats, g, np.zeros(1), whole)
+        assert P.unpack_arrays(answer)[2] == pytest.approx([5 - 2 * g.discount, 1 - g.discount])
