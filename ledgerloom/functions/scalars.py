@@ -45,7 +45,8 @@ def has_cid(c: Column | str) -> Column:
 
 def clean_cell(c: Column | str) -> Column:
     """A cell's text without unmapped-glyph marks and with tidy white space; null becomes empty."""
-    return squeeze(strip_cid(F.coalesce(_col(c), F.lit(""))))
+    t = F.coalesce(_col(c), F.lit(""))
+    return F.when(~t.rlike(r"[^!-~ ]|  |\(cid:|^ | \z"), t).otherwise(squeeze(strip_cid(t)))
 
 
 def has_arabic(c: Column | str) -> Column:
@@ -125,7 +126,8 @@ def money_text(c: Column | str) -> Column:
         number = F.when(whole & (F.abs(p["num"]) < 1e15), p["num"].cast("bigint").cast("string")).otherwise(p["num"].cast("string"))
         return F.coalesce(number, p["txt"], F.lit(""))
 
-    return named(parse_money(c), text)
+    # Whole numbers of up to nine digits are their own text.
+    return F.when(_col(c).rlike(r"^(?:0|[1-9][0-9]{0,8})\z"), _col(c)).otherwise(named(parse_money(c), text))
 
 
 def to_number(c: Column | str) -> Column:
@@ -172,7 +174,10 @@ def in_egp(egp: Column | str, usd: Column | str, euros: Column | str, gbp: Colum
 
 def normalize_header(c: Column | str) -> Column:
     """Lower case, punctuation as spaces, single spaces; letters of all scripts stay."""
-    return squeeze(F.regexp_replace(F.lower(F.coalesce(_col(c), F.lit(""))), r"(?U)[^\w\s]", " "))
+    t = F.coalesce(_col(c), F.lit(""))
+    # Most texts are plain words already; a run of anything else becomes one space.
+    plain = t.rlike(r"^(?:[A-Za-z0-9_]++ ){0,12}[A-Za-z0-9_]++\z")
+    return F.when(plain, F.lower(t)).otherwise(F.trim(F.regexp_replace(F.lower(t), r"(?U)[^a-z0-9_\w]+", " ")))
 
 
 def fold_notes(pairs: list[tuple[str | None, Column]]) -> Column:
@@ -207,9 +212,13 @@ def parse_date(c: Column | str, year_now: int) -> Column:
     number = lambda s, p, i: part(s, p, i).try_cast("int")
 
     def by_name(t: Column) -> Column:
-        month = F.nullif(F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(F.substring(part(t, named_day, 2), 1, 3))), F.lit(0)).cast("int")
-        year = F.coalesce(number(t, named_day, 3), F.lit(year_now))
-        return F.when(t.rlike(named_day), _day(F.when(year < 100, year + 2000).otherwise(year), month, number(t, named_day, 1)))
+        # What the pattern lets pass falls into its parts where it is split.
+        parts = F.split(t, r"[-/\s.]+")
+        month = lambda p: F.nullif(F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(F.substring(F.get(p, F.lit(1)), 1, 3))), F.lit(0)).cast("int")
+        year = lambda p: F.coalesce(F.get(p, F.lit(2)).try_cast("int"), F.lit(year_now))
+        read = lambda p: F.struct(year(p).alias("y"), month(p).alias("m"), F.get(p, F.lit(0)).try_cast("int").alias("d"))
+        day = lambda d: _day(F.when(d["y"] < 100, d["y"] + 2000).otherwise(d["y"]), d["m"], d["d"])
+        return F.when(t.rlike(named_day), named(parts, lambda p: named(read(p), day)))
 
     def short(a: Column, b: Column) -> Column:
         day_first = (a > 12) & (b <= 12)
@@ -255,4 +264,5 @@ def split_numbers(c: Column | str) -> Column:
 
     # No number has a small letter, and most boxes hold a word or one number: nothing to take apart.
     single = lambda t: t.rlike(r"[a-z]|^[0-9][0-9,]*(?:\.[0-9]+)?$")
-    return named(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"(?U)^\s+|\s+$", ""), lambda t: F.when(single(t), F.array(t)).otherwise(split(t)))
+    bare = _col(c).rlike(r"^(?:[0-9][0-9,]*(?:\.[0-9]+)?|(?=[^a-z\n\r]*[a-z])[!-~].*[!-~])\z")
+    return F.when(bare, F.array(_col(c))).otherwise(named(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"(?U)^\s+|\s+$", ""), lambda t: F.when(single(t), F.array(t)).otherwise(split(t))))

@@ -181,27 +181,42 @@ def with_labels(boxes: DataFrame, layouts: DataFrame) -> DataFrame:
     highest score there is and is told on the spot. Of the others, those that surely resemble none stay out of Python:
     numbers, and texts too long for matching blocks that share no word with a label and contain none.
     """
+    return _told(settle(_marked(boxes, layouts), "marked"), layouts).drop("__sure", "__text")
+
+
+def _names(layouts: DataFrame) -> DataFrame:
     names = layouts.select("supplier", S.normalize_header("label").alias("name")).where("name <> ''").groupBy("supplier").agg(F.array_sort(F.collect_set("name")).alias("names"))
     own = F.transform("names", lambda n: F.struct(n.alias("name"), F.array_distinct(F.split(n, " ")).alias("words")))
-    names = names.select("supplier", "names", own.alias("own"), F.array_distinct(F.flatten(F.transform("names", lambda n: F.split(n, " ")))).alias("words"), F.exists("names", lambda n: n.rlike(r"\p{Nd}")).alias("digits"), F.array_max(F.transform("names", F.length)).alias("longest"))
-    found = boxes.withColumn("__plain", S.normalize_header("text")).join(small(names.select(F.col("supplier").alias("__of"), F.struct("names", "own", "words", "digits", "longest").alias("__l"))), F.col("supplier") == F.col("__of"), "left").drop("__of")
+    return names.select("supplier", "names", own.alias("own"), F.array_distinct(F.flatten(F.transform("names", lambda n: F.split(n, " ")))).alias("words"), F.exists("names", lambda n: n.rlike(r"\p{Nd}")).alias("digits"), F.array_max(F.transform("names", F.length)).alias("longest"))
+
+
+def _marked(boxes: DataFrame, layouts: DataFrame) -> DataFrame:
+    """``boxes`` with __sure, the label that is told on the spot, and __text, the normalized text where it must be scored. All texts are looked at here, once."""
+    names = _names(layouts).select(F.col("supplier").alias("__of"), F.struct("names", "own", "words", "digits", "longest").alias("__l"))
+    found = boxes.join(small(names), F.col("supplier") == F.col("__of"), "left")
+    # Texts without a letter, most of a page, are not even normalized.
+    found = found.withColumn("__plain", F.when(F.col("__l.digits") | F.col("text").rlike(r"\p{L}"), S.normalize_header("text")))
     plain, said = F.col("__plain"), F.col("__said")
     # Blocks that match cover at most the shorter text, so a text over three times as long scores below a half.
     blocks = F.length(plain) * K.TEMPLATE_LABEL_MATCH <= F.col("__l.longest") * (2 - K.TEMPLATE_LABEL_MATCH)
-    wordy = F.col("__l.digits") | plain.rlike(r"\p{L}")
-    found = found.withColumn("__said", F.when((plain != "") & wordy, F.array_distinct(F.split(plain, " "))))
+    found = found.withColumn("__said", F.when(plain != "", F.array_distinct(F.split(plain, " "))))
     shared = lambda w: F.size(F.array_intersect(said, w))
     whole = F.filter("__l.own", lambda n: shared(n["words"]) == F.least(F.size(said), F.size(n["words"])))
     found = found.withColumn("__sure", F.when(F.arrays_overlap(said, "__l.words"), F.get(whole, F.lit(0))["name"]))
     may = F.col("__sure").isNull() & said.isNotNull() & (blocks | F.arrays_overlap(said, "__l.words") | F.exists("__l.names", lambda n: F.contains(plain, n)))
+    return found.select(*[F.col(f"`{c}`") for c in boxes.columns], "__sure", F.when(may, plain).alias("__text"))
+
+
+def _told(marked: DataFrame, layouts: DataFrame) -> DataFrame:
+    """A written table of ``_marked`` with label."""
     # Written first: a filter on scores would be pushed below the distinct, and every box be scored.
-    texts = settle(found.where(may).select("supplier", "__plain", F.col("__l.names").alias("names")).distinct(), "texts")
-    texts = texts.repartition(max(1, min(texts.count() // TEXTS_PER_TASK, 10_000)))
-    best = texts.withColumn("best", best_of(F.col("__plain"), F.col("names"), label_similarity)).where(F.col("best.score") >= K.TEMPLATE_LABEL_MATCH)
+    texts = settle(marked.where("__text is not null").select("supplier", "__text").distinct(), "texts")
+    texts = texts.repartition(max(1, min(texts.count() // TEXTS_PER_TASK, 10_000))).join(small(_names(layouts).select("supplier", "names")), "supplier")
+    best = texts.withColumn("best", best_of(F.col("__text"), F.col("names"), label_similarity)).where(F.col("best.score") >= K.TEMPLATE_LABEL_MATCH)
     # "Date" stands on nearly every page: the few texts that are labels go to the boxes, not the boxes to them.
-    near = small(settle(best.select(F.col("supplier").alias("__of"), F.col("__plain").alias("__text"), F.col("best.name").alias("__near")), "labels"))
-    found = found.join(near, (F.col("supplier") == F.col("__of")) & (plain == F.col("__text")), "left")
-    return found.select(*[F.col(f"`{c}`") for c in boxes.columns], F.coalesce("__sure", "__near").alias("label"))
+    near = small(settle(best.select(F.col("supplier").alias("__of"), F.col("__text").alias("__like"), F.col("best.name").alias("__near")), "labels"))
+    found = marked.join(near, (F.col("supplier") == F.col("__of")) & (F.col("__text") == F.col("__like")), "left")
+    return found.select(*[F.col(f"`{c}`") for c in marked.columns], F.coalesce("__sure", "__near").alias("label"))
 
 
 def label_hits(boxes: DataFrame, layouts: DataFrame) -> DataFrame:
@@ -214,13 +229,19 @@ def header_boxes(boxes: DataFrame, layouts: DataFrame) -> DataFrame:
 
     ``boxes`` has supplier, the document's own or null; pages without one have no header.
     """
-    hits = with_labels(boxes, layouts).where("label is not null").drop("label")
+    marked = settle(_marked(boxes, layouts), "marked")
+    return _header_boxes(marked, layouts).drop("__sure", "__text", "lo", "hi")
+
+
+def _header_boxes(marked: DataFrame, layouts: DataFrame) -> DataFrame:
+    """``header_boxes`` of a written table of ``_marked``, with the height band (lo, hi)."""
+    hits = _told(marked, layouts).where("label is not null").select(*PAGE, "box_id", "y0", "y1")
     middle = hits.groupBy(*PAGE).agg((F.median(F.col("y1") - F.col("y0")) * 0.5).alias("half"))
     grouped = islands(hits.join(middle, list(PAGE)), PAGE, _cy(), F.greatest(F.lit(1.0), F.col("half")), ["box_id"], "group")
     size = grouped.groupBy(*PAGE, "group").agg(F.count(F.lit(1)).alias("n"), F.min(_cy()).alias("lo"), F.max(_cy()).alias("hi"), F.max("half").alias("half"))
     best = F.row_number().over(W.partitionBy(*PAGE).orderBy(F.col("n").desc(), "group"))
     band = size.withColumn("k", best).where("k = 1").withColumn("span", F.greatest(F.lit(1.0), F.col("hi") - F.col("lo"), "half"))
-    return boxes.join(band.select(*PAGE, (F.col("lo") - F.col("span")).alias("lo"), (F.col("hi") + F.col("span")).alias("hi")), list(PAGE)).where(_cy().between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    return marked.join(band.select(*PAGE, (F.col("lo") - F.col("span")).alias("lo"), (F.col("hi") + F.col("span")).alias("hi")), list(PAGE)).where(_cy().between(F.col("lo"), F.col("hi")))
 
 
 def column_bounds(header: DataFrame) -> DataFrame:
@@ -240,21 +261,30 @@ def slice_boxes(boxes: DataFrame, bounds: DataFrame) -> DataFrame:
     Lines of a box become rows; several numbers in a number column become rows; a box across strips deals its words out
     from left to right, or stays whole in the first where it has too few.
     """
-    lap = F.least("x1", "b1") - F.greatest("x0", "b0")
-    near = boxes.where(F.trim("text") != "").join(bounds, list(PAGE)).withColumn("lap", lap)
-    touch = (F.col("x1") > F.col("b0")) & (F.col("x0") < F.col("b1"))
-    each = near.groupBy(*PAGE, "box_id", "text", "y0", "y1").agg(
-        F.array_sort(F.collect_list(F.when(touch, F.col("band")))).alias("spanned"),
-        F.max_by("band", F.struct("lap", -F.col("band"))).alias("primary"),
-        F.max_by("label", F.struct("lap", -F.col("band"))).alias("head"),
-        F.min_by("band", F.struct(F.abs(_cx() - (F.col("b0") + F.col("b1")) / 2), "band")).alias("nearest"),
-        F.min_by("label", F.struct(F.abs(_cx() - (F.col("b0") + F.col("b1")) / 2), "band")).alias("nearest_head"),
-    ).withColumns({"primary": F.when(F.size("spanned") > 0, F.col("primary")).otherwise(F.col("nearest")), "head": F.when(F.size("spanned") > 0, F.col("head")).otherwise(F.col("nearest_head"))})
-    each = each.withColumn("spanned", F.when(F.size("spanned") > 0, F.col("spanned")).otherwise(F.array("nearest")))
+    return _sliced(boxes.join(_strips(bounds), list(PAGE)))
+
+
+def _strips(bounds: DataFrame) -> DataFrame:
+    """(doc_id, page, strips): a row a page; what a strip's label says is worked out here, not for each box."""
+    label = F.col("label")
+    one = F.struct("band", "b0", "b1", F.coalesce(S.is_numeric_header("label"), F.lit(False)).alias("numeric"), F.coalesce(label == "", F.lit(False)).alias("blank"))
+    return bounds.groupBy(*PAGE).agg(F.array_sort(F.collect_list(one)).alias("strips"))
+
+
+def _sliced(near: DataFrame) -> DataFrame:
+    """``slice_boxes`` of boxes with their page's strips."""
     lines = F.filter(F.transform(F.split("text", r"[\n\r]+"), lambda t: F.trim(t)), lambda t: t != "")
-    each = each.withColumns({"lines": lines, "h": F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))}).withColumn("values", S.split_numbers(F.col("lines")[0])).withColumn("words", F.split(F.col("lines")[0], r"\s+"))
-    numeric = S.is_numeric_header("head")
-    stacked = (numeric | (F.col("head") == "")) & (F.size("values") > 1) & ((F.size("spanned") == 1) | (F.size("values") > F.size("spanned")) | numeric)
+    near = near.where(F.trim("text") != "").withColumn("lines", F.when(F.col("text").rlike(r"[\n\r]"), lines).otherwise(F.array(F.trim("text")))).where(F.size("lines") > 0)
+    at = lambda b: F.struct(b["band"].alias("band"), b["numeric"].alias("numeric"), b["blank"].alias("blank")).alias("at")
+    touched = F.transform(F.filter("strips", lambda b: (F.col("x1") > b["b0"]) & (F.col("x0") < b["b1"])), lambda b: b["band"])
+    widest = F.array_max(F.transform("strips", lambda b: F.struct((F.least("x1", b["b1"]) - F.greatest("x0", b["b0"])).alias("lap"), (-b["band"]).alias("first"), at(b))))
+    nearest = F.array_min(F.transform("strips", lambda b: F.struct(F.abs(_cx() - (b["b0"] + b["b1"]) / 2).alias("away"), b["band"].alias("first"), at(b))))
+    each = near.withColumn("touched", touched)
+    each = each.withColumn("head", F.when(F.size("touched") > 0, widest["at"]).otherwise(nearest["at"]))
+    each = each.withColumns({"primary": F.col("head.band"), "spanned": F.when(F.size("touched") > 0, F.col("touched")).otherwise(F.array("head.band")), "h": F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))})
+    numeric, first = F.col("head.numeric"), F.get("lines", F.lit(0))
+    each = each.withColumns({"values": F.when(numeric | F.col("head.blank"), S.split_numbers(first)), "words": F.when(F.size("spanned") > 1, F.split(first, r"\s+"))})
+    stacked = (F.size("values") > 1) & ((F.size("spanned") == 1) | (F.size("values") > F.size("spanned")) | numeric)
     piece = lambda band, text, y: F.struct(band.alias("band"), text.alias("text"), y.alias("y"))
     down = lambda items, band: F.transform(items, lambda t, i: piece(band, t, F.col("y0") + (i + 0.5) * F.col("h") / F.size(items)))
     across = F.transform("spanned", lambda b, i: piece(b, F.get("words", i), _cy()))
@@ -288,12 +318,13 @@ def nearest_free(rows: Sequence[float], ys: Sequence[float], reach: float) -> li
     return out
 
 
-def snap_rows(pieces: DataFrame, heights: DataFrame) -> DataFrame:
+def snap_rows(pieces: DataFrame, heights: DataFrame, dealt: bool = False) -> DataFrame:
     """(doc_id, page, line, band, cell): pieces placed on the rows of the fullest strip; line is null for pieces that no row takes.
 
     A strip with as many pieces as there are rows, starting near the first, is read in order. In others each row, from
     the top, takes the nearest free piece within reach; as that depends on the choices before, only such strips go to
     Python, by batches of any pages. Pieces at one height stand in the order of their texts.
+    ``dealt`` says that pieces already lie by page.
     """
 
     @F.pandas_udf("array<int>")
@@ -302,7 +333,8 @@ def snap_rows(pieces: DataFrame, heights: DataFrame) -> DataFrame:
 
     # Dealt out by page once: strips and what a page has in common follow from that.
     cells = F.array_sort(F.collect_list(F.struct("y", "text")))
-    strips = pieces.select(*PAGE, "band", "y", "text").repartition(*PAGE).groupBy(*PAGE, "band").agg(cells.alias("cells")).withColumn("n", F.size("cells"))
+    pieces = pieces.select(*PAGE, "band", "y", "text")
+    strips = (pieces if dealt else pieces.repartition(*PAGE)).groupBy(*PAGE, "band").agg(cells.alias("cells")).withColumn("n", F.size("cells"))
     back = F.max_by(F.struct("band", F.col("cells.y").alias("y")), F.struct("n", -F.col("band"))).over(W.partitionBy(*PAGE))
     strips = strips.withColumn("back", back).join(heights.select(*PAGE, "median"), list(PAGE))
     first, rows = F.col("back.y")[0], F.size("back.y")
@@ -328,13 +360,16 @@ def template_cells(boxes: DataFrame, labels: Sequence[str] | DataFrame, supplier
         labels = boxes.sparkSession.createDataFrame([("", n) for n in labels], "supplier string, label string")
     else:
         boxes = boxes.join(suppliers.select("doc_id", "supplier"), "doc_id")
-    boxes = settle(with_page_width(boxes), "boxes")
-    header = settle(header_boxes(boxes, labels), "header")
+    height = F.when(F.coalesce("text", F.lit("")) != "", F.greatest(F.lit(1.0), F.col("y1") - F.col("y0")))
+    boxes = settle(_marked(with_page_width(boxes).withColumn("median", F.median(height).over(W.partitionBy(*PAGE))), labels), "boxes")
+    header = settle(_header_boxes(boxes, labels), "header")
     bounds = settle(column_bounds(header).withColumn("m", F.count(F.lit(1)).over(W.partitionBy(*PAGE))).where("m >= 2").drop("m"), "bounds")
-    floor = header.groupBy(*PAGE).agg(F.max("y1").alias("floor"))
-    body = boxes.join(header.select(*PAGE, "box_id"), [*PAGE, "box_id"], "left_anti").join(floor, list(PAGE)).where(_cy() >= F.col("floor"))
-    heights = boxes.where(F.coalesce("text", F.lit("")) != "").groupBy(*PAGE).agg(F.median(F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))).alias("median"))
-    placed = settle(snap_rows(slice_boxes(body, bounds), heights), "placed")
+    # One row a page tells its boxes what they need, and they are dealt out by page once.
+    tops = header.groupBy(*PAGE).agg(F.max("y1").alias("floor"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+    pages = _strips(bounds).join(tops, list(PAGE))
+    body = boxes.select(*PAGE, "box_id", "text", "x0", "y0", "x1", "y1").repartition(*PAGE).join(pages, list(PAGE)).where((_cy() >= F.col("floor")) & ~_cy().between(F.col("lo"), F.col("hi")))
+    heights = header.groupBy(*PAGE).agg(F.max("median").alias("median"))
+    placed = settle(snap_rows(_sliced(body), heights, dealt=True), "placed")
     grid = placed.where("line is not null").select("doc_id", "page", (F.col("line") + 1).alias("row_idx"), "band", "cell")
     rows = grid.select(*PAGE, "row_idx").distinct().unionByName(bounds.select(*PAGE, F.lit(0).alias("row_idx")).distinct())
     full = rows.join(bounds.select(*PAGE, "band", "label"), list(PAGE)).join(grid, [*PAGE, "row_idx", "band"], "left")

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,3 +157,12 @@ def test_only_texts_of_unsure_labels_are_scored(spark, monkeypatch):
         assert got["s", t] == (name if score >= K.TEMPLATE_LABEL_MATCH else None), t
     assert got[None, "Date"] is None and got["other", "Date"] is None
     assert not {"hotel", "net", "date", "123", "a hotel name 5"} & set(scored)
+
+
+def test_boxes_are_cut_without_a_group_each(spark):
+    """A page's strips come to its boxes in one row; no box is a group of its own, and one that holds line breaks alone is no piece."""
+    boxes = page(spark, [("7", 10, 10, 40, 30), ("\n", 10, 40, 40, 60), ("a b", 20, 70, 180, 90)])
+    bounds = spark.createDataFrame([("d", 0, 0, 0.0, 100.0, "Adult"), ("d", 0, 1, 100.0, 900.0, "Hotel")], "doc_id string, page int, band int, b0 double, b1 double, label string")
+    cut = G.slice_boxes(boxes, bounds)
+    assert not re.search(r"Aggregate\(keys?=\[[^\]]*box_id", cut._jdf.queryExecution().executedPlan().toString())
+    assert sorted((r.box_id, r.band, r.text, r.y) for r in cut.collect()) == [(0, 0, "7", 20.0), (2, 0, "a", 80.0), (2, 1, "b", 80.0)]
