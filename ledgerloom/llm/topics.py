@@ -54,8 +54,8 @@ class Topics:
         if len(row):
             first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             weight = (1 + np.log(count)) * self.idf[term]
-            near[row[first]] = np.add.reduceat(weight[:, None] * self.centroids.T[term], first, axis=0)
-        return np.round(near, 9).argmax(1)
+            near[row[first]] = likeness(first, term, weight, self.centroids)
+        return near.argmax(1)
 
 
 def with_terms(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -89,7 +89,7 @@ def unit_vectors(terms: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def likeness(first: np.ndarray, term: np.ndarray, weight: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Cosines (text, centroid), rounded so that sums in any order compare alike. ``first``: where each text's terms begin; none is without."""
-    return np.round(np.stack([np.add.reduceat(weight * c[term], first) for c in centroids], axis=1), 9)
+    return np.round(np.stack([np.add.reduceat(c.take(term) * weight, first) for c in centroids], axis=1), 9)
 
 
 def _packs(rows: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -159,11 +159,19 @@ def fit(termed: DataFrame, key: str = "doc_id", topics: int = TOPICS, rounds: in
                 nearest = likeness(first, term, weight, centroids).argmax(1)
                 # Whole numbers below 2**53 add up exactly.
                 total += np.bincount(np.repeat(nearest * TERMS, size) + term, np.rint(weight * GRAIN), len(total)).astype(np.int64)
-            at = np.flatnonzero(total)
-            yield pa.record_batch([pa.array(at), pa.array(total[at])], ["at", "total"])
+            # A task's sums are one row a topic, not one an entry.
+            yield pa.record_batch([pa.array(np.arange(len(centroids))), pa.array([t.tobytes() for t in total.reshape(-1, TERMS)], pa.binary())], ["topic", "total"])
 
         return run
 
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        topic, total = None, np.zeros(TERMS, np.int64)
+        for batch in batches:
+            topic = batch.column("topic")[0] if batch.num_rows else topic
+            for each in batch.column("total"):
+                total += np.frombuffer(each.as_buffer(), np.int64)
+        yield pa.record_batch([pa.array([topic.as_py()]), pa.array([total.tobytes()], pa.binary())], ["topic", "total"])
+
     seeds = np.zeros((0, TERMS))
     while len(seeds) < topics:
         found = packs.mapInArrow(farthest(seeds), "near double, h long, term array<long>, weight array<double>").orderBy("near", "h", "term", "weight").limit(1).collect()
@@ -176,9 +184,9 @@ def fit(termed: DataFrame, key: str = "doc_id", topics: int = TOPICS, rounds: in
         return Topics(idf, np.zeros((1, TERMS)))
     centroids, before = seeds, None
     for _ in range(rounds):
-        sums = packs.mapInArrow(added(centroids), "at long, total long").groupBy("at").agg(F.sum("total").alias("total")).toArrow()
         total = np.zeros(len(centroids) * TERMS, np.int64)
-        total[sums.column("at").to_numpy()] = sums.column("total").to_numpy()
+        for r in packs.mapInArrow(added(centroids), "topic long, total binary").groupBy("topic").applyInArrow(summed, "topic long, total binary").collect():
+            total[r.topic * TERMS : (r.topic + 1) * TERMS] = np.frombuffer(r.total, np.int64)
         if before is not None and np.array_equal(total, before):
             break
         before, total = total, total.reshape(-1, TERMS).astype(float)

@@ -220,3 +220,14 @@ def test_passes_read_unit_vectors_packed_once(spark):
         length = np.sqrt(sum(v * v for v in want.values()))
         assert seen[i].keys() == want.keys() and all(abs(seen[i][t] - v / length) < 1e-6 for t, v in want.items())
     assert 0 not in seen and 9 not in seen
+
+
+def test_a_pass_brings_back_a_row_a_topic(spark, monkeypatch):
+    """What a task adds up in a round is a row for each topic, not one for each of its terms."""
+    docs = spark.createDataFrame([(i, f"alpha{i % 3} beta{i % 3} gamma{i}") for i in range(12)], "doc_id long, text string")
+    termed = topics.with_terms(docs, ["doc_id"]).localCheckpoint()
+    sent, whole = [], type(termed).mapInArrow
+    monkeypatch.setattr(type(termed), "mapInArrow", lambda df, run, schema, *a, **k: sent.append(schema) or whole(df, run, schema, *a, **k))
+    found = topics.fit(termed, topics=3)
+    assert "topic long, total binary" in sent and "at long, total long" not in sent
+    assert len(found.centroids) == 3 and abs((found.centroids**2).sum(1) - 1).max() < 1e-9
