@@ -181,27 +181,28 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return tally(fps, max_bits).where(F.col("joined") | near).select("u", "v")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (u, v), for every node that has an edge.
 
     Each round hooks every node to its smallest neighbour, follows the pointers until they rest, and contracts the edges;
-    edges between more than half the nodes vanish, so rounds grow with the logarithm of the table. Every round is written
-    to the shared folder. Hubs are no problem: the minimum is combined before the shuffle and joins may be split.
+    two rounds leave at most half the nodes, so rounds grow with the logarithm of the table, and they go on until no edge is
+    left. Every round is written to the shared folder. Hubs are no problem: the minimum is combined before the shuffle and
+    joins may be split.
     """
     spark = edges.sparkSession
     live = materialize(edges.where("u <> v").select("u", "v"), "edges")
     labels: DataFrame | None = None
-    for _ in range(rounds):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():
         both = live.select(F.col("u").alias("node"), F.col("v").alias("other")).unionAll(live.select(F.col("v").alias("node"), F.col("u").alias("other")))
-        low = materialize(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("parent")), "hooks")
-        # A parent is smaller than its child, so the pointers form trees; one jump a round halves their depth.
-        parents = low
-        for _ in range(2):
-            up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-            parents = parents.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"))
-        parents = materialize(parents, "parents")
+        parents = materialize(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("parent")), "hooks")
+        # A parent is smaller than its child, so the pointers form trees; a jump halves their depth.
+        resting = False
+        while not resting:
+            for _ in range(2):
+                up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+                parents = parents.select("node", "parent").join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), F.coalesce(F.col("grand") != F.col("parent"), F.lit(False)).alias("moved"))
+            parents = materialize(parents, "parents")
+            resting = parents.where("moved").isEmpty()
         if labels is None:
             labels = parents.select("node", F.col("parent").alias("component"))
         else:
@@ -211,8 +212,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         pu, pv = parents.select(F.col("node").alias("u"), F.col("parent").alias("pu")), parents.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
         moved = live.join(pu, "u").join(pv, "v").where("pu <> pv").select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct()
         live = materialize(moved, "edges")
-    else:
-        raise RuntimeError(f"components did not rest within {rounds} rounds")
     return labels if labels is not None else spark.createDataFrame([], "node long, component long")
 
 

@@ -110,6 +110,12 @@ def test_chain_components(spark):
     assert S.components(edges.limit(0)).collect() == []
 
 
+def test_chains_of_any_length_are_joined(spark):
+    """Ids in order along a chain, where each hook reaches one node only."""
+    edges = spark.range(600).selectExpr("id + 1 AS u", "id AS v")
+    assert {(r.node, r.component) for r in S.components(edges).collect()} == {(i, 0) for i in range(601)}
+
+
 def test_odd_ids_and_keeping_one(spark):
     rows = [(1, "a b c d", "x"), (1, "q r s t u v w", "y"), (None, "a b c d", "z"), (None, None, "n"), (9, "a b c d", "w"), (9, "a b c d", "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
