@@ -48,10 +48,15 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it back: lineage is cut and a lost executor takes nothing with it."""
+def materialize(df: DataFrame, name: str, partition_by: str | None = None, group_bytes: int | None = None) -> DataFrame:
+    """Writes ``df`` as a Parquet table in the shared folder and reads it back: lineage is cut and a lost executor takes nothing with it.
+
+    ``group_bytes`` bounds the row groups where rows are so large that a reader's batch of them would be too much.
+    """
     path = f"{_home(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
     writer = df.write.option("compression", "zstd")
+    if group_bytes:
+        writer = writer.option("parquet.block.size", group_bytes)
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -27,6 +27,10 @@ ROUNDS = 20
 GRAIN = 1 << 30
 #: Texts counted at once: 64 MB of counts.
 ROWS = 2_000
+#: Entries that a row of packed vectors holds (with its last text's, 120 KB at most), and rows that a pass reads at once.
+ENTRIES, GATHERED = 1 << 14, 16
+#: Parquet row groups of packed vectors. Spark's reader holds up to 4,096 rows of a group at once, here all of it; Parquet looks at sizes every 100 rows only.
+GROUP_BYTES = 16 << 20
 
 
 def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +97,7 @@ def likeness(first: np.ndarray, term: np.ndarray, weight: np.ndarray, centroids:
 
 
 def _packs(rows: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(texts, h, sizes, terms, weights): unit vectors of ``rows`` (h, terms), ROWS texts a row, so that a pass reads arrays and works nothing out again.
+    """(texts, h, sizes, terms, weights): unit vectors of ``rows`` (h, terms), ENTRIES or a little more a row, so that a pass reads arrays and works nothing out again.
 
     Texts whose terms all weigh nothing are left out. Weights are kept as float32.
     """
@@ -103,22 +107,25 @@ def _packs(rows: DataFrame, idf: np.ndarray) -> DataFrame:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 row, term, weight, there = unit_vectors(part.column("terms"), idf)
-                n = int(there.sum())
-                if n:
-                    own = there[row]
-                    arrays = (part.column("h").to_numpy()[there], np.bincount(row, minlength=len(there))[there].astype("<u2"), term[own].astype("<u2"), weight[own].astype("<f4"))
-                    yield pa.record_batch([pa.array([n]), *[pa.array([a.tobytes()], pa.binary()) for a in arrays]], ["texts", "h", "sizes", "terms", "weights"])
+                if there.any():
+                    own, size = there[row], np.bincount(row, minlength=len(there))[there]
+                    end = np.cumsum(size)
+                    cut = np.flatnonzero(np.diff((end - size) // ENTRIES)) + 1
+                    texts = (part.column("h").to_numpy()[there], size.astype("<u2"))
+                    arrays = [np.split(a, cut) for a in texts] + [np.split(a, end[cut - 1]) for a in (term[own].astype("<u2"), weight[own].astype("<f4"))]
+                    yield pa.record_batch([pa.array([len(h) for h in arrays[0]]), *[pa.array([a.tobytes() for a in each], pa.binary()) for each in arrays]], ["texts", "h", "sizes", "terms", "weights"])
 
     return rows.mapInArrow(run, "texts long, h binary, sizes binary, terms binary, weights binary")
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(h, size, first, term, weight) of each row of ``_packs``."""
+    """(h, size, first, term, weight) of the rows of ``_packs``, GATHERED of them at a time."""
     for batch in batches:
-        for h, sizes, terms, weights in zip(*[batch.column(c) for c in ("h", "sizes", "terms", "weights")], strict=True):
-            of = lambda v, kind: np.frombuffer(v.as_buffer(), kind)
-            size = of(sizes, "<u2").astype(np.int64)
-            yield of(h, "<i8"), size, np.cumsum(size) - size, of(terms, "<u2").astype(np.int64), of(weights, "<f4").astype(float)
+        for at in range(0, batch.num_rows, GATHERED):
+            part = batch.slice(at, GATHERED)
+            h, sizes, terms, weights = [np.frombuffer(b"".join(v.as_buffer() for v in part.column(c)), kind) for c, kind in (("h", "<i8"), ("sizes", "<u2"), ("terms", "<u2"), ("weights", "<f4"))]
+            size = sizes.astype(np.int64)
+            yield h, size, np.cumsum(size) - size, terms.astype(np.int64), weights.astype(float)
 
 
 def fit(termed: DataFrame, key: str = "doc_id", topics: int = TOPICS, rounds: int = ROUNDS) -> Topics:
@@ -128,7 +135,8 @@ def fit(termed: DataFrame, key: str = "doc_id", topics: int = TOPICS, rounds: in
         n, total = 0, np.zeros(TERMS, np.int64)
         for batch in batches:
             n += batch.num_rows
-            total += np.bincount(_unpacked(batch.column("terms"))[1], minlength=TERMS)
+            for at in range(0, batch.num_rows, ROWS):
+                total += np.bincount(_unpacked(batch.column("terms").slice(at, ROWS))[1], minlength=TERMS)
         if n:
             yield pa.record_batch([pa.array(np.r_[np.arange(TERMS), -1]), pa.array(np.r_[total, n])], ["term", "n"])
 
@@ -136,10 +144,10 @@ def fit(termed: DataFrame, key: str = "doc_id", topics: int = TOPICS, rounds: in
     documents = counted.get(-1, 0)
     idf = np.log((documents + 1) / (np.array([counted.get(t, 0) for t in range(TERMS)]) + 1.0))
     rows = termed.where(F.length("terms") > 0).select(F.xxhash64(F.col(key).cast("string"), "terms").alias("h"), "terms")
-    packs = materialize(_packs(rows, idf), "vectors")
+    packs = materialize(_packs(rows, idf), "vectors", group_bytes=GROUP_BYTES)
 
     def farthest(seeds: np.ndarray):
-        """Of each pack, the text least like any seed."""
+        """Of the texts read at once, the one least like any seed."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for h, size, first, term, weight in _vectors(batches):
@@ -223,7 +231,9 @@ def with_topics(termed: DataFrame, topics: Topics) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            topic = topics.of(*_unpacked(batch.column("terms")), batch.num_rows)
-            yield pa.record_batch([batch.column("row"), pa.array(topic, pa.int32())], ["row", "topic"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                topic = topics.of(*_unpacked(part.column("terms")), part.num_rows)
+                yield pa.record_batch([part.column("row"), pa.array(topic, pa.int32())], ["row", "topic"])
 
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, topic int").select("row.*", "topic")

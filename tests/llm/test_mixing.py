@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import mixing, topics
+from ledgerloom.llm.shared import materialize
 
 
 def test_topics_of_a_corpus_are_found_again(spark):
@@ -231,3 +232,23 @@ def test_a_pass_brings_back_a_row_a_topic(spark, monkeypatch):
     found = topics.fit(termed, topics=3)
     assert "topic long, total binary" in sent and "at long, total long" not in sent
     assert len(found.centroids) == 3 and abs((found.centroids**2).sum(1) - 1).max() < 1e-9
+
+
+def test_packed_vectors_stay_small_and_whole(spark):
+    """A row of packed vectors, and a row group of them, is bounded however many terms its texts have."""
+    rng = np.random.default_rng(4)
+    rows = [(i, np.c_[np.sort(rng.choice(topics.TERMS, n, replace=False)), np.ones(n)].astype("<u4").tobytes()) for i, n in enumerate(rng.integers(1, 400, 1_500).tolist() + [topics.TERMS, topics.TERMS])]
+    df = spark.createDataFrame(rows, "h long, terms binary").coalesce(1)
+    packs = topics._packs(df, np.ones(topics.TERMS)).toArrow()
+    assert max(len(w) for w in packs.column("weights").to_pylist()) <= 4 * (topics.ENTRIES + topics.TERMS)
+    got = [(int(h), t[at : at + n].tolist()) for h_, size, first, t, _ in topics._vectors(iter(packs.to_batches())) for h, n, at in zip(h_, size, first, strict=True)]
+    assert got == [(i, np.frombuffer(b, "<u4").reshape(-1, 2)[:, 0].tolist()) for i, b in rows]
+
+
+def test_row_groups_are_bounded(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.bytes(10_000)) for i in range(600)], "id long, b binary").coalesce(1)
+    written = materialize(df, "wide", group_bytes=1 << 19)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in written.inputFiles()]
+    assert sum(m.num_rows for m in groups) == 600 == written.count()
+    assert max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) <= 200
