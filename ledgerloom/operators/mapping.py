@@ -41,7 +41,8 @@ def map_columns(headers: DataFrame, keys: tuple[str, ...] = ("doc_id", "table_id
     column; the first header of a column that isn't claimed takes it. A header never falls back to a second choice.
     """
     columns = list(columns)
-    found = headers.withColumn("currency", S.header_currency("header"))
+    # All windows, and what a caller groups by table, share this exchange; by their own keys they would ask for one each.
+    found = headers.repartition(*keys).withColumn("currency", S.header_currency("header"))
     found = found.withColumn("currency", F.when(F.col("currency").isin(*columns), F.col("currency")))
     first = F.row_number().over(W.partitionBy(*keys, "currency").orderBy("col_idx"))
     found = found.withColumn("by_currency", F.when(F.col("currency").isNotNull() & (first == 1) & (F.col("header") != ""), F.col("currency")))

@@ -22,10 +22,15 @@ from ledgerloom.operators.tables import TABLE, dedupe_headers
 STRIP, VALUES, BLOCK, HEADER, DATA, OTHER = "strip", "values", "block", "header", "data", "other"
 
 
-def to_rows(cells: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
-    """(doc_id, table_id, row_idx, c, keep): a row a grid row, c its cells by column; cells that the grid lacks are null. ``keep`` is the same for all of a row."""
-    pairs = F.array_sort(F.collect_list(F.struct("col_idx", "cell"))).alias("p")
-    rows = cells.repartition(*TABLE).groupBy(*TABLE, "row_idx").agg(pairs, *[F.first(k).alias(k) for k in keep])
+def to_rows(cells: DataFrame, keep: Iterable[str] = (), together: bool = False) -> DataFrame:
+    """(doc_id, table_id, row_idx, c, keep): a row a grid row, c its cells by column; cells that the grid lacks are null. ``keep`` is the same for all of a row.
+
+    ``together`` tells that ``cells`` come from an exchange by doc_id, which then serves here too; rows are the same either way.
+    """
+    # A window, as collecting by group would sort cells, then rows, and the windows to come would sort rows again.
+    row = W.partitionBy(*TABLE, "row_idx").orderBy("col_idx")
+    pairs = F.array_sort(F.collect_list(F.struct("col_idx", "cell")).over(row.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    rows = (cells if together else cells.repartition(*TABLE)).withColumns({"p": pairs, "__nth": F.row_number().over(row)}).where("__nth = 1")
     last = F.element_at("p.col_idx", -1)
     whole = F.transform("p", lambda x: x["cell"])
     filled = F.transform(F.sequence(F.lit(0), last), lambda i: F.get(F.filter("p", lambda x: x["col_idx"] == i), F.lit(0))["cell"])

@@ -49,6 +49,7 @@ def dedupe_headers(headers: DataFrame, keys: tuple[str, ...] = TABLE) -> DataFra
     other = F.struct(F.regexp_extract("header", NUMBERED, 1).alias("stem"), taken.alias("taken"))
     each = filled.select(F.struct(*headers.columns).alias("row"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "col_idx", F.inline(F.when(taken.isNull(), F.array(own)).otherwise(F.array(own, other))))
     stem = [*[f"k{i}" for i in range(len(keys))], "stem"]
+    each = each.repartition(*stem)  # by its own keys the first window would ask for another exchange
     by = W.partitionBy(*stem, F.col("taken").isNull()).orderBy("taken", "col_idx")
     each = each.withColumns({"nth": F.row_number().over(by) - 1, "rank": F.dense_rank().over(W.partitionBy(*stem, F.col("taken").isNull()).orderBy("taken")), "first": F.coalesce(F.lag("taken").over(by) != F.col("taken"), F.col("taken").isNotNull())})
     # The j-th number taken, r, moves the repeats from r - j + 1 on by one.

@@ -30,14 +30,14 @@ class Extracted:
         return tables.clean_values(each, self.headers, fix_arabic=False).drop("header")
 
 
-def extract(cells: DataFrame, fix_arabic: bool | str = True, arabic_labels: bool = False, min_filled: int | None = None, strict: bool = True) -> Extracted:
+def extract(cells: DataFrame, fix_arabic: bool | str = True, arabic_labels: bool = False, min_filled: int | None = None, strict: bool = True, together: bool = False) -> Extracted:
     """Separates metadata strips and summary blocks from the transaction tables and cleans the values of the rest.
 
     ``fix_arabic`` may name a column of ``cells`` that tells it for each table. ``strict`` False also takes a table of one
-    data row and a total for a summary block, and so loses its row.
+    data row and a total for a summary block, and so loses its row. ``together`` as in ``rows.to_rows``.
     """
     keep = [fix_arabic] if isinstance(fix_arabic, str) else []
-    found = settle(rows.classify(rows.to_rows(tables.clean_cells(cells), keep), fix_arabic, arabic_labels, min_filled, strict), "rows")
+    found = settle(rows.classify(rows.to_rows(tables.clean_cells(cells), keep, together), fix_arabic, arabic_labels, min_filled, strict), "rows")
     values, strips = rows.block_values(found), rows.strip_values(found)
     # A block's value stands before a strip's of the same label.
     summary = values.unionByName(strips.join(values, ["doc_id", "label"], "left_anti"))

@@ -309,13 +309,16 @@ _LINE_HEADER = ["Date", "Hotel", "Adult", "V.NO", "Total", "Room"]
 
 def _order_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grid for each order: a header, its lines in order, and a total row below."""
-    nth = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    lines = _t(spark, sf_dir, "lineitem").withColumn("nth", nth)
-    body = _cells(lines, "l_orderkey", F.col("nth"), [F.date_format(F.col("l_shipdate").cast("date"), "yyyy-MM-dd"), F.concat(F.lit("Hotel "), "l_suppkey"), _int("l_quantity"), F.concat(F.lit("TG-"), "l_partkey"), F.format_number(_int("l_extendedprice"), 0), F.concat(F.lit("Room "), "l_linenumber")])
-    orders = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("last"))
-    head = _cells(orders, "l_orderkey", F.lit(0), [F.lit(h) for h in _LINE_HEADER])
-    total = _cells(orders, "l_orderkey", F.col("last") + 1, [F.lit("Total"), *[F.lit("")] * 3, F.lit("600"), F.lit("")])
-    return head.unionByName(body).unionByName(total)
+    order = W.partitionBy("l_orderkey")
+    nth = F.row_number().over(order.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    lines = _t(spark, sf_dir, "lineitem").withColumns({"nth": nth, "last": F.count(F.lit(1)).over(order)})
+    row = lambda at, values: F.struct(at.cast("int").alias("row_idx"), F.array(*[v.cast("string") for v in values]).alias("cells"))
+    head = row(F.lit(0), [F.lit(h) for h in _LINE_HEADER])
+    body = row(F.col("nth"), [F.date_format(F.col("l_shipdate").cast("date"), "yyyy-MM-dd"), F.concat(F.lit("Hotel "), "l_suppkey"), _int("l_quantity"), F.concat(F.lit("TG-"), "l_partkey"), F.format_number(_int("l_extendedprice"), 0), F.concat(F.lit("Room "), "l_linenumber")])
+    total = row(F.col("last") + 1, [F.lit("Total"), *[F.lit("")] * 3, F.lit("600"), F.lit("")])
+    # The first line brings the header along and the last one the total, so all of an order comes from one exchange and stays together.
+    rows = F.array_compact(F.array(F.when(F.col("nth") == 1, head), body, F.when(F.col("nth") == F.col("last"), total)))
+    return lines.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("table_id"), F.inline(rows)).select("doc_id", "table_id", "row_idx", F.posexplode("cells").alias("col_idx", "cell"))
 
 
 @query("SELECT l_orderkey AS doc_id, count(*) AS n_rows FROM lineitem GROUP BY 1")
@@ -329,7 +332,7 @@ def drop_summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS row_idx, strftime(l_shipdate, '%Y-%m-%d') AS \"Date\", 'Hotel ' || l_suppkey AS Hotel, CAST(l_quantity AS INT) AS Adult, CAST(CAST(trunc(l_extendedprice) AS BIGINT) AS DOUBLE) AS Total, 'Room: Room ' || l_linenumber AS Notes FROM lineitem")
 def standard_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grids with headers and totals all the way to the standard schema."""
-    found = pipelines.extract(_order_grids(spark, sf_dir), fix_arabic=False)
+    found = pipelines.extract(_order_grids(spark, sf_dir), fix_arabic=False, together=True)
     return pipelines.format_dynamic(found, 2026).select("doc_id", "row_idx", "Date", "Hotel", "Adult", "Total", "Notes")
 
 

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Whether the shuffle files that a query wrote go when it ends; Spark keeps them until the driver happens to collect garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors and the driver see: ``spark.checkpoint.dir``.
 
@@ -46,10 +50,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     What a step reads several times is worked out once, the plan starts anew there, and a lost executor takes nothing
-    with it.
+    with it. The shuffle files behind it go as soon as it is written, so the steps' files don't add up on disk.
     """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    path, conf = new_folder(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(SHUFFLES_GO, None)
+    conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(SHUFFLES_GO) if before is None else conf.set(SHUFFLES_GO, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
